@@ -8,14 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.llm.common import table
 from quantloom.llm.op6_sharding import place
+from quantloom.llm.op9_bpe import tokenize
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir, "documents"), [1.0] * 8, [1.0] * 9)
 
 
+def tokenizer_path() -> str:
+    """The tokenizer file of the environment; a path that holds on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
