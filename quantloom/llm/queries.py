@@ -7,14 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.llm.common import table
+from quantloom.llm.op3_fingerprints import compare
 from quantloom.llm.op6_sharding import place
+from quantloom.llm.op8_decontamination import decontaminate
 from quantloom.llm.op9_bpe import tokenize
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir, "documents"), [1.0] * 8, [1.0] * 9)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer_path() -> str:
     """The tokenizer file of the environment; a path that holds on every executor."""
     import public_tokenizers
@@ -27,7 +37,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_fingerprints": op3_fingerprints,
     "op6_sharding": op6_sharding,
+    "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
 }
 
