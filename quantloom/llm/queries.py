@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.llm.common import table
+from quantloom.llm.op1_warc import round_trip
 from quantloom.llm.op3_fingerprints import compare
 from quantloom.llm.op6_sharding import place
 from quantloom.llm.op8_decontamination import decontaminate
 from quantloom.llm.op9_bpe import tokenize
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare(table(spark, sf_dir, "documents"))
 
@@ -37,10 +42,25 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op3_fingerprints": op3_fingerprints,
     "op6_sharding": op6_sharding,
     "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (
+            SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), f AS (
+            SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+        )
+        SELECT p.page_id, p.payload_bytes, p.payload_digest,
+               CASE WHEN p.page_id > f.first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN p.page_id > f.first THEN f.first END AS refers_to,
+               p.url
+        FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+    """,
+}
