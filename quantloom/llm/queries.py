@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quantloom.llm.common import table
 from quantloom.llm.op1_warc import round_trip
 from quantloom.llm.op3_fingerprints import compare
+from quantloom.llm.op5_quality import classify
 from quantloom.llm.op6_sharding import place
 from quantloom.llm.op8_decontamination import decontaminate
 from quantloom.llm.op9_bpe import tokenize
@@ -22,6 +23,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir, "documents"), [1.0] * 8, [1.0] * 9)
 
@@ -44,6 +49,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_fingerprints": op3_fingerprints,
+    "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
     "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
