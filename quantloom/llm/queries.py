@@ -11,6 +11,7 @@ from quantloom.llm.op1_warc import round_trip
 from quantloom.llm.op3_fingerprints import compare
 from quantloom.llm.op5_quality import classify
 from quantloom.llm.op6_sharding import place
+from quantloom.llm.op7_html import extract
 from quantloom.llm.op8_decontamination import decontaminate
 from quantloom.llm.op9_bpe import tokenize
 
@@ -31,6 +32,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir, "documents"), [1.0] * 8, [1.0] * 9)
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
+    "op7_html": op7_html,
     "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
 }
