@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.llm.common import table
+from quantloom.llm.op10_dartminhash import near_duplicates
 from quantloom.llm.op1_warc import round_trip
 from quantloom.llm.op3_fingerprints import compare
 from quantloom.llm.op5_quality import classify
@@ -51,6 +52,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_texts")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_fingerprints": op3_fingerprints,
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_html": op7_html,
     "op8_decontamination": op8_decontamination,
     "op9_bpe": op9_bpe,
+    "op10_dartminhash": op10_dartminhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
