@@ -1,12 +1,73 @@
-"""The corpus pipeline: quality, line dedup, near-dedup, decontamination, tokens."""
+"""The corpus pipeline: quality classifier, line dedup, near-dedup, decontamination, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again
+before the next. All but the last keep the columns of documents.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-ORACLE_SQL = None
+from quantloom.llm.common import stored, table
+from quantloom.llm.op4_line_dedup import without_repeats
+from quantloom.llm.op5_quality import accepted
+from quantloom.llm.op8_decontamination import clean
+from quantloom.llm.op9_bpe import tokenize
+from quantloom.llm.op10_dartminhash import keep_one
+from quantloom.llm.queries import tokenizer_path
+from quantloom.ship import ship
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier keeps; it learns from the labels of the documents it is given."""
+    ship(spark)
+    return accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of aligned common blocks go from the texts; all rows stay."""
+    ship(spark)
+    return without_repeats(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays."""
+    ship(spark)
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by the benchmark go."""
+    ship(spark)
+    return clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Counts and digests of the documents' tokens."""
+    ship(spark)
+    return tokenize(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("tokens", tokens),
+]
+
+#: The stages hold a trained network, alignments and a tokenizer, which SQL can't express.
+ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs)
+    return docs

@@ -241,6 +241,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     return index.mapInArrow(run, RESULT)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of documents that aren't contaminated, with their columns.
+
+    Rows are told apart by a 64-bit hash of text and id, as ids may repeat.
+    """
+    numbered = docs.select(F.xxhash64("text", "doc_id").alias("doc_id"), "text")
+    bad = decontaminate(numbered, benchmark).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.withColumn("__row", F.xxhash64("text", "doc_id")).join(bad, F.col("__row") == F.col("__bad"), "left_anti").drop("__row")
+
+
 def find_phrases(index: DataFrame, phrases: list[str]) -> DataFrame:
     """Exact occurrences of phrases: doc_id, phrase, and the number of the first word in the document."""
     return _find(index, phrases, None)

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quantloom.llm.common import table
 from quantloom.llm.op10_dartminhash import near_duplicates
 from quantloom.llm.op1_warc import round_trip
+from quantloom.llm.op2_licenses import scan
 from quantloom.llm.op3_fingerprints import compare
+from quantloom.llm.op4_line_dedup import report
 from quantloom.llm.op5_quality import classify
 from quantloom.llm.op6_sharding import place
 from quantloom.llm.op7_html import extract
@@ -21,10 +23,18 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,7 +68,9 @@ def op10_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_licenses": op2_licenses,
     "op3_fingerprints": op3_fingerprints,
+    "op4_line_dedup": op4_line_dedup,
     "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
     "op7_html": op7_html,
