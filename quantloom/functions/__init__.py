@@ -1 +1 @@
-
+"""Factor expressions, operators and formula libraries."""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from quantloom.plans import factors
+
+FLAGSHIP = "factor_momentum_rank"
 
 
 def queries() -> dict:
-    return {}
+    return {name: factors.plan(*shape) for name, shape in factors.shapes().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: factors.text(*shape) for name, shape in factors.shapes().items()}
