@@ -1 +1 @@
-
+"""Operators on long frames: alignment, evaluation, portfolios, analytics, inference, preparation."""

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from quantloom.plans import factors
+from quantloom.plans import factors, research
 
 FLAGSHIP = "factor_momentum_rank"
 
 
 def queries() -> dict:
-    return {name: factors.plan(*shape) for name, shape in factors.shapes().items()}
+    return {name: factors.plan(*shape) for name, shape in factors.shapes().items()} | research.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: factors.text(*shape) for name, shape in factors.shapes().items()}
+    return {name: factors.text(*shape) for name, shape in factors.shapes().items()} | research.ORACLE

@@ -1 +1 @@
-
+"""Streams of bars and ticks."""
