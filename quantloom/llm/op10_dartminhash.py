@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import LOWER, WORD, joined, mix, pieces, runs, shingles, span_hashes, stored, text_bytes
+from quantloom.llm.common import LOWER, WORD, joined, mix, pieces, runs, shingles, span_hashes, stored, text_bytes, unused
 
 WORDS, LIKENESS = 5, 0.8
 #: Bands, and coordinates in a band.
@@ -261,10 +261,10 @@ def _joined_up(component: DataFrame, links: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of documents per class: that of the smallest doc_id."""
-    classes = near_duplicates(docs)
-    best = classes.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("best"))
-    chosen = best.select(F.col("best.doc_id").alias("__id"), F.col("best.h").alias("__k"))
+    key, digest, own = unused(docs, "key", "digest", "own")
+    best = near_duplicates(docs).groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("best"))
+    chosen = best.select(F.col("best.doc_id").alias(key), F.col("best.h").alias(digest))
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumn("__h", F.unhex(F.md5(body.cast("binary"))))
-    kept = marked.join(chosen, (F.col("__h") == F.col("__k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__h"]).drop("__h")
+    marked = docs.withColumn(own, F.unhex(F.md5(body.cast("binary"))))
+    kept = marked.join(chosen, (F.col(own) == F.col(digest)) & F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).drop(own)

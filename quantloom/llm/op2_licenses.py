@@ -92,7 +92,7 @@ RULES = [
 ]
 
 #: A known sentence has one of these in it; so has one that may speak of licenses.
-TRIGGERS = ("licen", "copyright", "rights reserved", "permi", "warrant", "redistribut", "free software", "unencumbered", "liable", "mpl", "contributors")
+TRIGGERS = ("licen", "copyright", "(c)", "©", "reserved", "permi", "warrant", "redistribut", "software", "unencumbered", "liable", "mpl", "gnu", "contributors")
 
 #: Where sentences end: at line ends, and at a mark before white space.
 _END = re.compile(r"[.!?:;](?=\s)|\n\s*\n|\n(?=\s*(?:[*#/;-]|\d+\.|\()|\s*[A-Z])")
@@ -150,7 +150,7 @@ def scan_text(text: str, known: Known) -> tuple[list[str], list[str], list[int],
     for a, b in cut(text):
         sentence = text[a:b]
         low = sentence.lower()
-        if any(t in low for t in TRIGGERS) or "cc0" in low or "cc " in low:
+        if any(t in low for t in TRIGGERS):
             name = known.name(normalise(sentence))
             unknown += name is None and "licen" in low
         else:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import DARK, byte_set, pieces, runs, span_hashes, stored, text_bytes
+from quantloom.llm.common import DARK, byte_set, pieces, runs, span_hashes, stored, text_bytes, unused
 
 #: Words in the smallest block that is deleted.
 MIN_WORDS = 10
@@ -163,34 +163,39 @@ def deletions(docs: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"), F.array_sort(F.collect_set("first_id")).alias("partners"))  # at most one list per line of the document
 
 
-def _with_found(docs: DataFrame) -> DataFrame:
-    found = deletions(docs).select(F.col("doc_id").alias("__id"), F.col("h").alias("__k"), F.col("found").alias("__found"), F.col("partners").alias("__partners"))
-    marked = docs.withColumn("__h", _digest())
-    return marked.join(found, (F.col("__h") == F.col("__k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").drop("__h", "__k", "__id")
+def _with_found(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """The documents with the lines to delete and the documents they stand in; the names of these two columns."""
+    key, digest, found, partners, own = unused(docs, "key", "digest", "found", "partners", "own")
+    some = deletions(docs).select(F.col("doc_id").alias(key), F.col("h").alias(digest), F.col("found").alias(found), F.col("partners").alias(partners))
+    marked = docs.withColumn(own, _digest())
+    out = marked.join(some, (F.col(own) == F.col(digest)) & F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left")
+    return out.drop(own, digest, key), found, partners
 
 
-def _left_over():
+def _left_over(found: str):
     lines = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__found"))
-    return F.when(F.col("__found").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(found))
+    return F.when(F.col(found).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with their columns; later copies of aligned blocks are gone from the texts."""
-    names = docs.columns
-    out = _with_found(docs).withColumn("text", _left_over())
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__found").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    out, found, _ = _with_found(docs)
+    left = _left_over(found)
+    fresh = {"text": left}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        fresh["n_chars"] = F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length(left).cast(kind))
+    return out.select(*(fresh[c].alias(c) if c in fresh else F.col(f"`{c}`") for c in docs.columns))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per row: lines, deleted lines, the documents they were found in, and the digest of what is left."""
-    rows = _with_found(docs.select("doc_id", "text"))
+    rows, found, partners = _with_found(docs.select("doc_id", "text"))
     return rows.select(
         "doc_id",
-        F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__found"), F.lit(0)).cast("long").alias("n_deleted"),
-        F.coalesce("__partners", F.array().cast("array<bigint>")).alias("partners"),
-        F.sha2(F.coalesce(_left_over(), F.lit("")).cast("binary"), 256).alias("left_sha256"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"),
+        F.coalesce(F.size(found), F.lit(0)).cast("long").alias("n_deleted"),
+        F.coalesce(F.col(partners), F.array().cast("array<bigint>")).alias("partners"),
+        F.sha2(F.coalesce(_left_over(found), F.lit("")).cast("binary"), 256).alias("left_sha256"),
     )

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import LOWER, WORD, pieces, runs, span_hashes, stored, text_bytes
+from quantloom.llm.common import LOWER, WORD, pieces, runs, span_hashes, stored, text_bytes, unused
 
 #: Words in a window.
 WINDOW = 13
@@ -246,9 +246,11 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Rows are told apart by a 64-bit hash of text and id, as ids may repeat.
     """
-    numbered = docs.select(F.xxhash64("text", "doc_id").alias("doc_id"), "text")
-    bad = decontaminate(numbered, benchmark).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.withColumn("__row", F.xxhash64("text", "doc_id")).join(bad, F.col("__row") == F.col("__bad"), "left_anti").drop("__row")
+    own, bad = unused(docs, "own", "bad")
+    row = F.xxhash64("text", "doc_id")
+    found = decontaminate(docs.select(row.alias("doc_id"), "text"), benchmark).where("contaminated")
+    found = found.select(F.col("doc_id").alias(bad)).distinct()
+    return docs.withColumn(own, row).join(found, F.col(own) == F.col(bad), "left_anti").drop(own)
 
 
 def find_phrases(index: DataFrame, phrases: list[str]) -> DataFrame:
