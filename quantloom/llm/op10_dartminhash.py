@@ -12,13 +12,12 @@ regions [2**v - 1, 2**(v+1) - 1) with a Poisson process each.
 Join. Coordinates make up bands of R; documents with an equal band share a bucket.
 With 24 bands of 4, a pair of likeness 0.8 shares none with a probability of 4e-6.
 
-Links. Texts that are equal are one class from the start. In every bucket the pairs
-(hub, member) are checked by the exact Jaccard likeness of their shingle sets; a hub is
-the member with most links so far. Members that are linked, directly or not, need no
-more checks among them. A hub that has met all members leaves its bucket; more and more
-hubs are taken per bucket in each round, until every bucket is one component or used up.
-So every pair of a bucket whose link could join two components gets checked, while a bucket
-of near copies of one text costs one pair per member.
+Links. Texts that are equal are one class from the start. In every bucket the earliest
+text is checked against all others, by the exact Jaccard likeness of their shingle
+sets: one pair per member, however large the bucket. Buckets that hold several components
+then may hold links between others than the earliest. Their texts go through a join on the
+rare ends of their shingle sets, which finds all pairs of the likeness and rules most
+others out without making them; only pairs of different components are made and checked.
 
 Shingles: five words (ASCII letters and digits in lower case, and all beyond ASCII); a text of fewer words
 has one shingle of all. Defined results: null or empty texts, and texts without words, each are in a
@@ -43,8 +42,8 @@ WORDS, LIKENESS = 5, 0.8
 BANDS, R = 24, 4
 #: Expected darts beyond t ln t, per coordinate.
 SPARE = 3.0
-#: Rows up to which the candidates' ids are broadcast (16 bytes each); beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a table of digests and labels is broadcast (at most 60 bytes each); beyond it a join shuffles.
+BROADCAST_ROWS = 300_000
 
 
 def signatures(elements: np.ndarray, ptr: np.ndarray, t: int = BANDS * R, weights: np.ndarray | None = None, seed: int = 1) -> np.ndarray:
@@ -169,8 +168,8 @@ def near_duplicates(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     marked = stored(texts.mapInArrow(_banded, "doc_id long, h binary, bands array<long>"))
     classes = marked.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
     placed = classes.select("h", "first", F.explode("bands").alias("key"))
-    shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = stored(placed.join(shared, "key").select("key", "h", "first"))
+    shared = placed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
+    members = stored(placed.join(shared, "key", "left_semi").select("key", "h", "first"))
     component = _components(docs, members, likeness)
     label = component.groupBy("c").agg(F.count("*").alias("class_texts"))
     named = marked.select("doc_id", "h").join(component.join(label, "c"), "h", "left").select("doc_id", "h", F.coalesce("c", "h").alias("c"), F.coalesce("class_texts", F.lit(1)).alias("class_texts"))
@@ -178,85 +177,91 @@ def near_duplicates(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     return named.join(ids, "c").select("doc_id", "class_id", "class_texts", "h", "c")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A stored table for a join: broadcast only if its counted rows are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _components(docs: DataFrame, members: DataFrame, likeness: float) -> DataFrame:
     """(h, c): the component of every text that shares a bucket; c is the smallest h of the component."""
-    texts = members.groupBy("h").agg(F.min("first").alias("first"))
-    component = stored(texts.select("h", F.col("h").alias("c")))
-    sets = _sets_of(docs, component)
-    degree = component.select("h", F.lit(0).alias("links"))
-    tested: DataFrame | None = None
-    hubs_per_bucket = 1
-    while True:
-        here = members.join(component, "h").join(degree, "h")
-        mixed = here.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-        here = stored(here.join(mixed, "key"))
-        if here.isEmpty():
-            return component
-        lot = F.pmod(F.xxhash64("h", F.lit(hubs_per_bucket)), F.lit(hubs_per_bucket))
-        best = F.min(F.struct(-F.col("links"), "first", "h", "c")).alias("hub")
-        hubs = here.groupBy("key", lot.alias("lot")).agg(best).select("key", F.col("hub.h").alias("hub"), F.col("hub.c").alias("hub_c"))
-        pairs = (
-            here.join(hubs, "key")
-            .where((F.col("c") != F.col("hub_c")) & (F.col("h") != F.col("hub")))
-            .select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b"))
-            .groupBy("a", "b")
-            .agg(F.lit(1).alias("one"))
-            .drop("one")
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = stored(_alike(pairs, sets, likeness))
-        ends = links.select(F.col("a").alias("h")).unionByName(links.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("more"))
-        degree = stored(degree.join(ends, "h", "left").select("h", (F.col("links") + F.coalesce("more", F.lit(0))).alias("links")))
-        component = _joined_up(component, links)
-        members = members.join(hubs.select("key", F.col("hub").alias("h")), ["key", "h"], "left_anti")  # they have met all members
-        members = stored(members)
-        hubs_per_bucket *= 4
-
-
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, s): the shingle sets of the wanted texts, once each."""
-    n = wanted.count()
-    keys = wanted.select("h")
-    texts = _texts(docs).select("h", "text")
-    some = texts.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, "h", "left_semi")  # 16 bytes a key
+    firsts = stored(members.groupBy("h").agg(F.min("first").alias("first")))
+    sets = _sets_of(docs, firsts)
+    component = stored(sets.select("h", F.col("h").alias("c"), F.size("s").alias("n")))
+    # one pair per bucket and member: with the earliest text
+    hubs = members.groupBy("key").agg(F.min(F.struct("first", "h")).alias("hub")).select("key", F.col("hub.h").alias("hub"))
+    stars = members.join(hubs, "key").where(F.col("h") != F.col("hub")).select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b")).distinct()
+    component = _joined_up(component, stored(_alike(stars, sets, likeness)))
+    # buckets of several components may hold links yet
+    labels = members.join(_small(component), "h").select("key", "h", "c")
+    open_keys = labels.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    still = stored(members.join(open_keys, "key", "left_semi").select("h").distinct())
+    rest = _prefix_pairs(sets.join(_small(still), "h", "left_semi").join(_small(component), "h"), likeness)
+    return _joined_up(component, stored(_alike(rest, sets, likeness))).select("h", "c")
+
+
+def _prefix_pairs(rows: DataFrame, likeness: float) -> DataFrame:
+    """Pairs of rows (h, s, c, n) of different components that may reach the likeness; no such pair is lost.
+
+    Two sets of this likeness have a common element among the first few of both, in any
+    fixed order. Rare elements come first here: what is edited in a copy is its own, so
+    the first elements of a copy that differs too much meet nobody. Elements that one
+    set alone has are counted, and not joined. A first common element must leave enough elements after it.
+    """
+    elements = rows.select("h", F.explode("s").alias("e"))
+    common = elements.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = elements.join(common, "e").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("list"))  # of one text each
+    own = F.col("n") - F.size("list")
+    first = (F.col("n") - F.ceil(F.col("n") * likeness - 1e-6) + 1).cast("int")
+    some = ordered.join(rows.select("h", "c", "n"), "h").where(first > own)
+    probes = some.select("h", "c", "n", own.alias("own"), F.posexplode(F.slice("list", F.lit(1), first - own)).alias("i", "x")).select("h", "c", "n", F.col("x.e").alias("e"), (F.col("n") - F.col("own") - F.col("i")).alias("left"))
+    probes = stored(probes)
+    a = probes.select(F.col("h").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("left").alias("la"), "e")
+    b = probes.select(F.col("h").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("left").alias("lb"), "e")
+    enough = F.least("la", "lb") >= (F.col("na") + F.col("nb")) * (likeness / (1 + likeness)) - 1e-6
+    alike = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * likeness - 1e-6) & enough
+    return a.join(b, "e").where(alike).select("a", "b").distinct()
+
+
+def _sets_of(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(h, s): the shingle sets of texts, each taken from the row with the smallest doc_id."""
+    own = F.struct(F.col("doc_id").isNull(), "doc_id")
+    wanted = _small(firsts.select("h", F.struct(F.col("first").isNull(), F.col("first").alias("doc_id")).alias("at")))
+    some = _texts(docs).withColumn("at", own).join(wanted, ["h", "at"], "left_semi").select("h", "text")
     return stored(some.mapInArrow(_sets, "h binary, s array<long>").groupBy("h").agg(F.first("s").alias("s")))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
-    """Pairs whose shingle sets have at least this Jaccard likeness.
-
-    Pairs whose sizes alone rule it out go before any set moves.
-    """
-    sizes = sets.select("h", F.size("s").alias("n"))
-    left, right = sizes.select(F.col("h").alias("a"), F.col("n").alias("na")), sizes.select(F.col("h").alias("b"), F.col("n").alias("nb"))
-    some = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") >= likeness * F.greatest("na", "nb")).select("a", "b")
-    both = some.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
+    """Pairs whose shingle sets have at least this Jaccard likeness."""
+    left, right = sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), sets.select(F.col("h").alias("b"), F.col("s").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= likeness * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def _joined_up(component: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after adding links: smallest labels spread over links between components until none changes."""
-    names_a, names_b = component.select(F.col("h").alias("a"), F.col("c").alias("ca")), component.select(F.col("h").alias("b"), F.col("c").alias("cb"))
-    edges = links.join(names_a, "a").join(names_b, "b").where("ca <> cb").select("ca", "cb")
-    edges = stored(edges.unionByName(edges.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"))).distinct())
+    """Components after adding links.
+
+    The smallest label spreads over the links between components until none
+    changes; a label also takes its own label's label, so that paths halve in every round.
+    """
+    names = _small(component)
+    a, b = names.select(F.col("h").alias("a"), F.col("c").alias("ca")), names.select(F.col("h").alias("b"), F.col("c").alias("cb"))
+    some = links.join(a, "a").join(b, "b").where("ca <> cb").select("ca", "cb")
+    edges = stored(some.unionByName(some.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"))).distinct())
     if edges.isEmpty():
         return component
-    label = edges.groupBy(F.col("ca").alias("v")).agg(F.min(F.least("ca", "cb")).alias("low"))
-    label = stored(label)
+    label = stored(edges.groupBy(F.col("ca").alias("v")).agg(F.min(F.least("ca", "cb")).alias("low")))
     while True:
-        heard = edges.join(label, edges["cb"] == label["v"]).groupBy(F.col("ca").alias("v")).agg(F.min("low").alias("heard"))
-        new = label.join(heard, "v").select("v", F.least("low", "heard").alias("low"), (F.col("heard") < F.col("low")).alias("changed"))
-        # a label's own label is smaller still: paths halve in every round
-        up = new.select(F.col("v").alias("low"), F.col("low").alias("lower"))
+        known = _small(label)
+        heard = edges.join(known.select(F.col("v").alias("cb"), "low"), "cb").groupBy(F.col("ca").alias("v")).agg(F.min("low").alias("heard"))
+        new = heard.join(known, "v").select("v", F.least("low", "heard").alias("low"), (F.col("heard") < F.col("low")).alias("changed"))
+        up = known.select(F.col("v").alias("low"), F.col("low").alias("lower"))
         new = stored(new.join(up, "low", "left").select("v", F.least("low", F.coalesce("lower", "low")).alias("low"), "changed"))
         label = new.select("v", "low")
         if new.where("changed").isEmpty():
             break
-    return stored(component.join(label, component["c"] == label["v"], "left").select("h", F.coalesce("low", "c").alias("c")))
+    out = component.join(_small(label).select(F.col("v").alias("c"), "low"), "c", "left")
+    return stored(out.select("h", F.coalesce("low", "c").alias("c"), "n"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
