@@ -210,7 +210,7 @@ class _Parser:
         if self.peek() == "(":
             self.take("(")
             args = []
-            while self.peek() != ")":
+            while self.peek() not in (")", ""):
                 args.append(self.choice())
                 if self.peek() == ",":
                     self.take(",")

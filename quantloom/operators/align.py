@@ -66,13 +66,14 @@ def asof(panel: DataFrame, events: DataFrame, values: Sequence[str], *, lag: int
     (date, order) wins. One window per code fills forward.
     """
     calendar = sessions(panel, date)
-    placed = snap(events.withColumnRenamed(date, "__event").withColumn(date, F.col("__event")), calendar, date).withColumn("k", F.col("k") + lag)
-    best = placed.groupBy(code, "k").agg(*(F.max_by(v, F.struct("__event", *order)).alias(v) for v in values), F.lit(True).alias("__hit"))
-    rows = panel.join(calendar, date).select("*", F.lit(1).alias("__row"))
-    both = rows.join(best, [code, "k"], "full")
-    w = Window.partitionBy(code).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    events = events.select(code, date, F.struct(date, *order).alias("__order"), *(F.col(v).alias(f"__v_{v}") for v in values))
+    placed = snap(events, calendar, date).withColumn("__k", F.col("k") + lag)
+    best = placed.groupBy(code, "__k").agg(*(F.max_by(f"__v_{v}", "__order").alias(v) for v in values), F.lit(True).alias("__hit"))
+    rows = panel.join(calendar.withColumnRenamed("k", "__k"), date).select("*", F.lit(1).alias("__row"))
+    both = rows.join(best, [code, "__k"], "full")
+    w = Window.partitionBy(code).orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
     filled = both.select(*(c for c in rows.columns), *(F.last(F.when(F.col("__hit"), F.struct(F.col(v))), True).over(w)[v].alias(v) for v in values))
-    return filled.where("__row = 1").drop("__row", "k")
+    return filled.where("__row = 1").drop("__row", "__k")
 
 
 def holding(daily: DataFrame, rebalances: DataFrame, date: str = "date_") -> DataFrame:
