@@ -28,16 +28,19 @@ tags, and entities without a semicolon, are read as browsers do in the common ca
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.llm.common import stored
+
 #: Below this, a branch of the tree is noise; a branch's depth of children weighs g.
 LOW, G = 0.2, 0.9
 #: Different pages of a host from which on its tree says something.
@@ -72,7 +75,6 @@ CLOSES = {
 }
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-SPACE = re.compile(r"\s+")
 PART = re.compile(r"[A-Za-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -83,23 +85,34 @@ class Node:
     def __init__(self, tag: str, sign: str, noise: bool, main: bool):
         self.tag, self.sign, self.noise, self.main = tag, sign, noise, main
         self.children: list[Node | str] = []  # elements, and texts of blocks
-        self.path = ""
+        self.path = 0
 
 
 def _named(value: str) -> bool:
     return any(part.lower() in NAMES for word in value.split() for part in PART.findall(CAMEL.sub(" ", word)))
 
 
-def _element(tag: str, attributes: str) -> Node:
-    found = {}
-    if attributes.strip():
-        for m in ATTRIBUTE.finditer(attributes):
-            found.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
-    role, names = found.get("role", "").lower(), found.get("class", "")
+@lru_cache(maxsize=50_000)
+def _traits(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """Signature, whether noise, and whether the main part."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
+    role, names, name = found.get("role", "").lower(), found.get("class", ""), found.get("id", "")
     main = tag in ("article", "main") or role in ("article", "main")
-    noise = tag in NOISE or role in ROLES or (not main and tag not in ("body", "html") and (_named(names) or _named(found.get("id", ""))))
-    sign = tag + "." + ".".join(sorted(set(names.split()))) if names else tag
-    return Node(tag, sign, noise, main)
+    noise = tag in NOISE or role in ROLES
+    if not noise and not main and tag not in ("body", "html"):
+        noise = bool(names and _named(names)) or bool(name and _named(name))
+    return tag + "." + ".".join(sorted(set(names.split()))) if names else tag, noise, main
+
+
+def traits(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """As :func:`_traits`; attributes that don't count are left out first."""
+    if attributes:
+        low = attributes.lower()
+        if "class" in low or "id" in low or "role" in low:
+            return _traits(tag, attributes)
+    return _traits(tag, "")
 
 
 def parse(page: str) -> Node:
@@ -111,7 +124,10 @@ def parse(page: str) -> Node:
 
     def flush() -> None:
         if text:
-            joined = SPACE.sub(" ", entities.unescape("".join(text))).strip()
+            joined = "".join(text)
+            if "&" in joined:
+                joined = entities.unescape(joined)
+            joined = " ".join(joined.split())
             text.clear()
             if joined:
                 stack[-1].children.append(joined)
@@ -154,7 +170,7 @@ def parse(page: str) -> Node:
                     flush()
                 continue
             if tag not in BLOCKS:
-                if _element(tag, m[4]).noise and not m[4].endswith("/"):
+                if traits(tag, m[4])[1] and not m[4].endswith("/"):
                     skip, depth = tag, 1
                     text.append(" ")
                 continue
@@ -169,7 +185,7 @@ def parse(page: str) -> Node:
             flush()
             if tag in ("html", "body") and any(n.tag == tag for n in stack):
                 continue
-            node = _element(tag, m[4])
+            node = Node(tag, *traits(tag, m[4]))
             stack[-1].children.append(node)
             stack.append(node)
             continue
@@ -208,8 +224,10 @@ def _close_paragraph(stack: list[Node], close) -> None:
             return
 
 
-def _short(text: str) -> str:
-    return hashlib.md5(text.encode("utf-8", "replace")).hexdigest()[:16]
+def _short(text: str) -> int:
+    """Signed 64-bit hash."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+    return h - (1 << 64) if h >= 1 << 63 else h
 
 
 def _name(root: Node) -> None:
@@ -217,9 +235,13 @@ def _name(root: Node) -> None:
     todo = [root]
     while todo:
         node = todo.pop()
+        known: dict[str, int] = {}
         for child in node.children:
-            if isinstance(child, Node):
-                child.path = _short(f"{node.path}/{child.sign}")
+            if not isinstance(child, str):
+                path = known.get(child.sign)
+                if path is None:
+                    path = known[child.sign] = _short(f"{node.path}/{child.sign}")
+                child.path = path
                 todo.append(child)
 
 
@@ -241,24 +263,33 @@ def presentation(node: Node) -> str:
     return " ".join(out)
 
 
-def features(root: Node) -> set[tuple[str, str, str]]:
-    """(path, kind, value) of a page: ``p`` presentations and ``c`` contents."""
-    out = set()
-    for node in nodes(root):
+def features(root: Node) -> list[tuple[int, int | None, int]]:
+    """(path, content, presentation) of a page, without repeats: one of the last two is 0 or null.
+
+    Presentations have a null content.
+    """
+    out: set[tuple[int, int | None, int]] = set()
+    todo = [root]
+    while todo:  # what is noise by its meaning needs no statistics
+        node = todo.pop()
         if node.noise:
             continue
         if node.path:
-            out.add((node.path, "p", _short(presentation(node))))
-        out.update((node.path, "c", _short(child)) for child in node.children if isinstance(child, str))
-    return out
+            out.add((node.path, None, _short(presentation(node))))
+        for child in node.children:
+            if isinstance(child, str):
+                out.add((node.path, _short(child), 0))
+            else:
+                todo.append(child)
+    return list(out)
 
 
-def importance(root: Node, low: dict[tuple[str, str], float]) -> dict[int, float]:
-    """Importance of every element, by its identity; ``low`` has (path, content) and (path, '') of what isn't 1."""
+def importance(root: Node, low: dict[tuple[int, int | None], float]) -> dict[int, float]:
+    """Importance of every element, by its identity; ``low`` has (path, content) and (path, None) of what isn't 1."""
     out: dict[int, float] = {}
     for node in reversed(list(nodes(root))):
         parts = [low.get((node.path, _short(c)), 1.0) if isinstance(c, str) else out[id(c)] for c in node.children if isinstance(c, str) or not c.noise]
-        own = low.get((node.path, ""), 1.0) if node.path else 1.0
+        own = low.get((node.path, None), 1.0) if node.path else 1.0
         weight = G ** len(parts)
         out[id(node)] = (1 - weight) * own + weight * sum(parts) / len(parts) if parts else own
         if parts and max(parts) >= LOW:  # never remove a branch for its frame alone
@@ -266,7 +297,7 @@ def importance(root: Node, low: dict[tuple[str, str], float]) -> dict[int, float
     return out
 
 
-def main_text(root: Node, low: dict[tuple[str, str], float] | None = None) -> str:
+def main_text(root: Node, low: dict[tuple[int, int | None], float] | None = None) -> str:
     """Blocks that stay, in page order, joined by line ends."""
     low = low or {}
     rank = importance(root, low) if low else {}
@@ -298,46 +329,57 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+FEATURES = "host string, print long, features array<struct<path: long, content: long, shape: long>>"
+_FEATURE = pa.struct([("path", pa.int64()), ("content", pa.int64()), ("shape", pa.int64())])
+
+
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def done() -> pa.RecordBatch:
+        flat = [f for one in lists for f in one]
+        ends = [0]
+        for one in lists:
+            ends.append(ends[-1] + len(one))
+        rows = pa.StructArray.from_arrays([pa.array([f[i] for f in flat], pa.int64()) for i in range(3)], fields=list(_FEATURE))
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(prints, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], ["host", "print", "features"])
+
     for batch in batches:
         hosts, prints, lists, size = [], [], [], 0
         for url, page in zip(batch.column("url"), batch.column("html"), strict=True):
             root = parse(page.as_py() or "")
             hosts.append(host_of(url.as_py()))
             prints.append(_short(main_text(root)))
-            lists.append(["\t".join(f) for f in features(root)])
+            lists.append(features(root))
             size += len(lists[-1])
             if size > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(prints, pa.string()), pa.array(lists, pa.list_(pa.string()))], ["host", "print", "features"])
+                yield done()
                 hosts, prints, lists, size = [], [], [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(prints, pa.string()), pa.array(lists, pa.list_(pa.string()))], ["host", "print", "features"])
+        yield done()
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """Branches of low importance: host, path, value (empty for presentations), importance.
+    """Branches of low importance: host, path, content (null for presentations), importance.
 
     Counts are sums over keys of host, path and value: partial sums come first, and
-    a hot host spreads over as many tasks as it has different branches.
+    a hot host spreads over as many tasks as it has different branches. Pages with the same article count once.
     """
-    seen = pages.select("url", "html").mapInArrow(_features_of, "host string, print string, features array<string>")
-    seen = seen.select("host", "print", F.explode("features").alias("f")).groupBy("host", "f", "print").agg(F.lit(1).alias("one"))
-    counts = seen.groupBy("host", "f").agg(F.count("*").alias("n"))
-    parts = F.split("f", "\t")
-    counts = counts.select("host", parts[0].alias("path"), parts[1].alias("kind"), parts[2].alias("value"), "n")
+    seen = pages.select("url", "html").mapInArrow(_features_of, FEATURES)
+    seen = seen.select(F.xxhash64("host").alias("host"), "print", F.explode("features").alias("f")).select("host", "print", "f.*")
+    # one row per page, feature and article; distinct articles are counted, in two steps of partial sums
+    counts = seen.groupBy("host", "path", "content", "shape", "print").agg(F.lit(1).alias("one")).groupBy("host", "path", "content", "shape").agg(F.count("*").alias("n"))
+    counts = stored(counts)
     of_path = (
-        counts.where("kind = 'p'")
+        counts.where("content is null")
         .groupBy("host", "path")
         .agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("nlogn"), F.max("n").alias("top"))
         .where(F.col("m") >= MIN_PAGES)
     )
     flat = F.log(F.col("m").cast("double"))
-    entropy = of_path.where(F.col("top") * 2 >= F.col("m")).select("host", "path", F.lit("").alias("value"), ((flat - F.col("nlogn") / F.col("m")) / flat).alias("importance"))
+    entropy = of_path.where(F.col("top") * 2 >= F.col("m")).select("host", "path", F.lit(None).cast("long").alias("content"), ((flat - F.col("nlogn") / F.col("m")) / flat).alias("importance"))
     content = (
-        counts.where(F.col("kind") == "c")
-        .where(F.col("n") * 2 >= MIN_PAGES)
+        counts.where(F.col("content").isNotNull() & (F.col("n") * 2 >= MIN_PAGES))
         .join(of_path.select("host", "path", "m"), ["host", "path"])
         .where(F.col("n") * 2 >= F.col("m"))
-        .select("host", "path", "value", (1 - F.log(F.col("n").cast("double")) / F.log(F.col("m").cast("double"))).alias("importance"))
+        .select("host", "path", "content", (1 - F.log(F.col("n").cast("double")) / F.log(F.col("m").cast("double"))).alias("importance"))
     )
     return entropy.unionByName(content)
 
@@ -345,6 +387,10 @@ def style_tree(pages: DataFrame) -> DataFrame:
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
+#: Hosts up to which their branches are broadcast (about 24 bytes a branch, two pages' branches a host); beyond it the pages are shuffled by host.
+BROADCAST_HOSTS = 20_000
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """Main text of every page."""
     from pyspark.sql import types as T
@@ -355,19 +401,19 @@ def extract(pages: DataFrame) -> DataFrame:
     def host(urls: pa.Array) -> pa.Array:
         return pa.array([host_of(u) for u in urls.to_pylist()], pa.string())
 
-    low = style_tree(rows).groupBy(F.col("host").alias("low_host")).agg(F.collect_list(F.struct("path", "value", "importance")).alias("low"))  # about twice a page's branches
-    rows = rows.withColumn("host", host("url")).join(low, F.col("host") == F.col("low_host"), "left")
+    low = style_tree(rows).where(F.col("importance") < 1).groupBy(F.col("host").alias("low_host")).agg(F.collect_list(F.struct("path", "content", "importance")).alias("low"))  # about twice a page's branches
+    low = stored(low)
+    rows = rows.withColumn("host", F.xxhash64(host("url"))).join(F.broadcast(low) if low.count() <= BROADCAST_HOSTS else low, F.col("host") == F.col("low_host"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, dict] = {}
+        kept: dict[int, dict] = {}
         for batch in batches:
             texts = []
-            for name, page, branches in zip(batch.column("host"), batch.column("html"), batch.column("low"), strict=True):
-                name = name.as_py()
+            for name, page, branches in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("low"), strict=True):
                 if name not in kept:
                     if len(kept) > 1000:
                         kept.clear()
-                    kept[name] = {(b["path"], b["value"]): b["importance"] for b in branches.as_py() or ()}
+                    kept[name] = {(b["path"], b["content"]): b["importance"] for b in branches.as_py() or ()}
                 texts.append(main_text(parse(page.as_py() or ""), kept[name]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
