@@ -24,7 +24,7 @@ ALIASES: dict[str, str] = {
     "rolling_cov": "ts_cov", "cov": "ts_cov", "covariance": "ts_cov", "stddev": "ts_std", "lag": "delay", "shift": "delay", "ts_delay": "delay", "rolling_delay": "delay",
     "diff": "delta", "ts_delta": "delta", "rolling_delta": "delta", "ts_pct_change": "pct_change", "rolling_pct_change": "pct_change", "returns": "pct_change",
     "rolling_wma": "decay_linear", "ts_wma": "decay_linear", "wma": "decay_linear", "ts_arg_max": "ts_argmax", "ts_arg_min": "ts_argmin", "rolling_quantile": "ts_quantile",
-    "rolling_count": "ts_count", "rolling_sharpe": "ts_sharpe", "rolling_information_ratio": "ts_sharpe", "ts_backfill": "ffill", "ts_fill": "ffill", "regression_slope": "ts_slope",
+    "rolling_count": "ts_count", "rolling_sharpe": "ts_sharpe", "rolling_information_ratio": "ts_sharpe", "ts_backfill": "ffill", "ts_fill": "ffill", "regression_slope": "ts_slope", "slope": "ts_slope", "bigger": "max2", "smaller": "min2",
     "rank": "cs_rank", "cs_rank_pct": "cs_rank", "rank_pct": "cs_rank", "rank_centered": "cs_rank_centered", "demean": "cs_demean", "zscore": "cs_zscore", "scale": "cs_scale",
     "cs_scale_minmax": "cs_minmax", "minmax_scale": "cs_minmax", "l1_normalize": "cs_l1", "l2_normalize": "cs_l2", "winsorize_quantile": "cs_winsorize", "top": "cs_top", "bottom": "cs_bottom",
     "indneutralize": "group_demean", "neutralize": "group_demean", "neutralize_by_group": "group_demean", "group_scale": "group_zscore", "group_neutralize": "group_demean",
@@ -109,6 +109,34 @@ def true_range(high: Expr, low: Expr, close: Expr) -> Expr:
     return Expr("max2", (high - low, Expr("max2", (Expr("abs", (high - before,)), Expr("abs", (low - before,))))))
 
 
+@composed
+def ewm(x: Expr, span: float | None = None, halflife: float | None = None, alpha: float | None = None) -> Expr:
+    """Exponentially weighted mean by span, half-life, or weight."""
+    weight = alpha if alpha is not None else 2.0 / (span + 1.0) if span is not None else 1.0 - 0.5 ** (1.0 / halflife)
+    return Expr("ewm_mean", (x,), weight=float(weight))
+
+
+for _name in ("rolling_ema", "ts_ema", "ema"):
+    COMPOSED[_name] = lambda x, n: ewm(x, span=n)
+
+
+@composed
+def count(condition: Expr, n: int) -> Expr:
+    """Rows of the window for which a condition holds."""
+    return Expr("ts_sum", (Expr("bool", (condition,)),), n=n)
+
+
+@composed
+def highday(x: Expr, n: int) -> Expr:
+    """Rows since the window's highest value."""
+    return (n - 1.0) - Expr("ts_argmax", (x,), n=n)
+
+
+@composed
+def lowday(x: Expr, n: int) -> Expr:
+    return (n - 1.0) - Expr("ts_argmin", (x,), n=n)
+
+
 @composed
 def event_backfill(x: Expr, limit: int) -> Expr:
     return Expr("ffill", (x,), limit=limit)
@@ -218,6 +246,8 @@ class _Parser:
             return function(t.lower(), args)
         if m := re.fullmatch(r"adv(\d+)", t):
             return adv(int(m[1]))
+        if t == "amount":
+            return col("vwap") * col("volume")
         return col({"returns": "ret"}.get(t, t))
 
 
@@ -229,6 +259,10 @@ def function(name: str, args: list) -> Expr:
         return call("group_demean", args[0])
     if name in ("scale",):
         return call("cs_scale", args[0], *(float(a) for a in args[1:]))
+    if name == "sma" and len(args) == 3:
+        return Expr("ewm_mean", (args[0],), weight=args[2] / args[1])
+    if name in ("bigger", "smaller", "where"):
+        return call(name, *args)
     if name in ("signedpower",):
         return Expr("signed_power", (args[0], args[1]))
     return call(name, *(int(a) if isinstance(a, float) and k else a for k, a in enumerate(args)))

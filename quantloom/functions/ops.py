@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -291,7 +293,8 @@ def _ts_corr(f, x, y, n):
     x, y = both(x, y)
     w = f.rows(n)
     sx, sy = F.stddev_samp(x).over(w), F.stddev_samp(y).over(w)
-    return full(f, x, n, F.when((sx > 1e-9) & (sy > 1e-9), F.covar_samp(x, y).over(w) / (sx * sy)))
+    # rounded, as rounding noise would make an order among equal correlations
+    return full(f, x, n, F.when((sx > 1e-9) & (sy > 1e-9), F.round(F.covar_samp(x, y).over(w) / (sx * sy), 9)))
 
 
 @op("ts_cov", TIME)
@@ -344,6 +347,22 @@ def _decay_linear(f, x, n):
     return full(f, x, n, total / F.lit(n * (n + 1) / 2.0))
 
 
+def reach(weight: float) -> int:
+    """Rows after which a value's share in a recursive mean is below double precision."""
+    return max(2, math.ceil(math.log(1e-17) / math.log1p(-weight))) if weight < 1 else 1
+
+
+@op("ewm_mean", TIME)
+def _ewm_mean(f, x, weight):
+    """Recursive mean with ``weight`` on the newest value; it starts with the first value there is.
+
+    Rows beyond :func:`reach` no longer count, which bounds the memory of a row.
+    """
+    held = F.collect_list(x).over(f.rows(reach(weight)))
+    fold = F.aggregate(held, F.lit(None).cast("double"), lambda a, v: F.coalesce(a * F.lit(1 - weight) + v * F.lit(weight), v))
+    return F.when(x.isNotNull(), fold)
+
+
 @op("cumsum", TIME)
 def _cumsum(f, x):
     return F.when(x.isNotNull(), F.sum(x).over(f.rows(None)))
@@ -483,6 +502,16 @@ def _cs_count(f, x):
     return F.count(x).over(f.cross).cast("double")
 
 
+@op("cs_max", CROSS)
+def _cs_max(f, x):
+    return F.max(x).over(f.cross)
+
+
+@op("cs_min", CROSS)
+def _cs_min(f, x):
+    return F.min(x).over(f.cross)
+
+
 @op("cs_std", CROSS)
 def _cs_std(f, x, ddof=0):
     return (F.stddev_samp(x) if ddof else F.stddev_pop(x)).over(f.cross)

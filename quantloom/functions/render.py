@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from quantloom.functions.expr import Expr, windowed
+from quantloom.functions.ops import reach
 
 SQL: dict[str, Callable[..., str]] = {}
 
@@ -125,7 +126,7 @@ def _corr(x: str, y: str, over: str) -> str:
 @sql("ts_corr")
 def _ts_corr(x, y, n):
     x, y = both(x, y)
-    return full(x, n, _corr(x, y, rows(n)))
+    return f"round({full(x, n, _corr(x, y, rows(n)))}, 9)"
 
 
 @sql("ts_cov")
@@ -158,6 +159,12 @@ def _decay_linear(x, n):
     return full(x, n, f"({terms}) / {n * (n + 1) / 2.0!r}")
 
 
+@sql("ewm_mean")
+def _ewm_mean(x, weight):
+    held = f"list({x}) FILTER (WHERE {x} IS NOT NULL) OVER {rows(reach(weight))}"
+    return f"(CASE WHEN {x} IS NOT NULL THEN list_reduce({held}, lambda a, v: a * {1 - weight!r} + v * {weight!r}) END)"
+
+
 for _name, _agg in (("cumsum", "sum"), ("cumprod", "product"), ("cummax", "max"), ("cummin", "min")):
     SQL[_name] = lambda x, a=_agg: f"(CASE WHEN {x} IS NOT NULL THEN {a}({x}) OVER {rows(None)} END)"
 SQL["cumcount"] = lambda x: f"CAST(count({x}) OVER {rows(None)} AS DOUBLE)"
@@ -210,6 +217,8 @@ SQL["cs_scale"] = lambda x, a=1.0: f"({x} * {float(a)!r} / nullif(sum(abs({x}))
 SQL["cs_mean"] = lambda x: f"avg({x}) OVER ({CROSS})"
 SQL["cs_sum"] = lambda x: f"sum({x}) OVER ({CROSS})"
 SQL["cs_count"] = lambda x: f"CAST(count({x}) OVER ({CROSS}) AS DOUBLE)"
+SQL["cs_max"] = lambda x: f"max({x}) OVER ({CROSS})"
+SQL["cs_min"] = lambda x: f"min({x}) OVER ({CROSS})"
 SQL["cs_std"] = lambda x, ddof=0: f"{'stddev_samp' if ddof else 'stddev_pop'}({x}) OVER ({CROSS})"
 
 

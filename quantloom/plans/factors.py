@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.functions import alpha101, dsl
+from quantloom.functions import alpha101, dsl, gtja191
 from quantloom.functions.dsl import call, col, parse
 from quantloom.functions.expr import Expr, lower
 from quantloom.functions.render import render
@@ -18,11 +18,13 @@ PANELS = {"daily": (panels.daily, panels.DAILY_SQL), "monthly": (panels.monthly,
 
 def shown(x):
     """Values as single precision after rounding: engines differ in the last bits of a sum."""
-    return F.round(x.cast("double"), 7).cast("float").cast("double")
+    x = x.cast("double")
+    return F.round(F.when(F.abs(x) > 1e30, F.signum(x) * 1e30).otherwise(x), 7).cast("float").cast("double")
 
 
 def shown_sql(x: str) -> str:
-    return f"CAST(CAST(round(CAST({x} AS DOUBLE), 7) AS FLOAT) AS DOUBLE)"
+    x = f"CAST({x} AS DOUBLE)"
+    return f"CAST(CAST(round(CASE WHEN abs({x}) > 1e30 THEN sign({x}) * 1e30 ELSE {x} END, 7) AS FLOAT) AS DOUBLE)"
 
 
 def plan(panel: str, factors: dict[str, Expr]) -> Callable[[SparkSession, str], DataFrame]:
@@ -71,12 +73,19 @@ SHAPES: dict[str, tuple[str, dict[str, Expr]]] = {
     "group_aggregates": ("monthly", {n: call(f"group_{n}", close) for n in ("mean", "min", "max", "sum", "median", "std", "count")}),
     "group_standard": ("monthly", {"demeaned": call("group_demean", close), "z": call("group_zscore", close), "rank": call("group_rank", close), "filled": call("group_fill", holes)}),
     "neutralize_industry_size": ("monthly", {"neutral": dsl.neutralize_size(close, call("log", col("cap")))}),
+    "ts_recursive": ("daily", {"ewm": dsl.ewm(close, span=10), "of_holes": dsl.ewm(holes, alpha=0.3), "half": dsl.ewm(close, halflife=5)}),
     "formula_parsed": ("daily", {"factor": parse("(close > open) ? rank(delta(close, 1) / delay(close, 1)) : -1 * ts_rank(volume, 5)")}),
 }
 
 
 def alpha_queries() -> dict[str, tuple[str, dict[str, Expr]]]:
-    return {f"alpha101_{n:03d}": ("daily", {f"alpha_{n}": alpha101.alpha(n)}) for n in alpha101.FORMULAS}
+    out = {f"alpha101_{n:03d}": ("daily", {f"alpha_{n}": alpha101.alpha(n)}) for n in alpha101.FORMULAS}
+    own = [n for n in gtja191.FORMULAS if n not in gtja191.NEED_INDEX]
+    # several formulas a query: what they share is planned once
+    for at in range(0, len(own), 6):
+        some = own[at : at + 6]
+        out[f"gtja191_{some[0]:03d}_{some[-1]:03d}"] = ("daily", {f"alpha_{n}": gtja191.alpha(n) for n in some})
+    return out
 
 
 def shapes() -> dict[str, tuple[str, dict[str, Expr]]]:
