@@ -82,7 +82,7 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Node:
     __slots__ = ("tag", "sign", "noise", "main", "children", "path")
 
-    def __init__(self, tag: str, sign: str, noise: bool, main: bool):
+    def __init__(self, tag: str, sign: str, noise: int, main: bool):
         self.tag, self.sign, self.noise, self.main = tag, sign, noise, main
         self.children: list[Node | str] = []  # elements, and texts of blocks
         self.path = 0
@@ -93,20 +93,20 @@ def _named(value: str) -> bool:
 
 
 @lru_cache(maxsize=50_000)
-def _traits(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Signature, whether noise, and whether the main part."""
+def _traits(tag: str, attributes: str) -> tuple[str, int, bool]:
+    """Signature; 2 for noise by tag or role, 1 by name, else 0; and whether the main part."""
     found: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(attributes):
         found.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
     role, names, name = found.get("role", "").lower(), found.get("class", ""), found.get("id", "")
     main = tag in ("article", "main") or role in ("article", "main")
-    noise = tag in NOISE or role in ROLES
+    noise = 2 * (tag in NOISE or role in ROLES)
     if not noise and not main and tag not in ("body", "html"):
-        noise = bool(names and _named(names)) or bool(name and _named(name))
+        noise = int(bool(names and _named(names)) or bool(name and _named(name)))
     return tag + "." + ".".join(sorted(set(names.split()))) if names else tag, noise, main
 
 
-def traits(tag: str, attributes: str) -> tuple[str, bool, bool]:
+def traits(tag: str, attributes: str) -> tuple[str, int, bool]:
     """As :func:`_traits`; attributes that don't count are left out first."""
     if attributes:
         low = attributes.lower()
@@ -117,7 +117,7 @@ def traits(tag: str, attributes: str) -> tuple[str, bool, bool]:
 
 def parse(page: str) -> Node:
     """The page's tree of block elements; inline elements are only text, if they aren't noise."""
-    root = Node("#", "#", False, False)
+    root = Node("#", "#", 0, False)
     stack, text = [root], []  # open elements; pieces of the block under way
     skip = None  # a raw or noisy inline element under way: no text
     depth = 0
@@ -186,6 +186,9 @@ def parse(page: str) -> Node:
             if tag in ("html", "body") and any(n.tag == tag for n in stack):
                 continue
             node = Node(tag, *traits(tag, m[4]))
+            if node.main:
+                for outer in stack:  # what holds the main part is no noise by its name alone
+                    outer.noise &= 2
             stack[-1].children.append(node)
             stack.append(node)
             continue

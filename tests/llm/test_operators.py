@@ -301,6 +301,11 @@ def test_html_main_text(spark):
     assert op7_html.extract(pages.limit(0)).count() == 0
 
 
+def test_html_wrapper_names_do_not_hide_the_article():
+    page = "<body><div class='with-sidebar'><article><header><h1>H</h1></header><p>body text</article><div class=sidebar>side</div></div></body>"
+    assert op7_html.main_text(op7_html.parse(page)) == "H\nbody text"
+
+
 def test_html_style_tree_removes_templates(spark):
     page = "<body><div class=top><p>Welcome to our site</p><p>{i} online</p></div><div class=x><p>Text number {i} is here</p><p>Read more about us</p></div></body>"
     rows = [(i, "http://one.example/p", page.replace("{i}", str(i))) for i in range(30)] + [(i, "http://few.example/p", page.replace("{i}", str(i))) for i in range(100, 103)]
