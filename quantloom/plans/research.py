@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.operators import align, evaluation, inference, portfolio, prepare
+from quantloom.operators import align, analytics, evaluation, inference, portfolio, prepare
 from quantloom.plans.factors import shown, shown_sql
 from quantloom.plans.panels import DAILY_SQL, MONTHLY_SQL, daily, monthly, table
 from quantloom.streaming.bars import bars
@@ -408,3 +408,63 @@ def hourly_bars(spark, sf_dir):
     ticks = table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("price"), F.lit(1).alias("size"), F.col("event_id").alias("seq"))
     out = bars(ticks, "1 hour", code="event_type")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+WEALTH_SQL = f"""
+    SELECT *, wealth / greatest(max(wealth) OVER (PARTITION BY code ORDER BY date_ ROWS UNBOUNDED PRECEDING), 1.0) - 1 AS dd, quantile_cont(ret, 0.05) OVER (PARTITION BY code) AS low
+    FROM (SELECT code, date_, ret, exp(sum(ln(1 + ret)) OVER (PARTITION BY code ORDER BY date_ ROWS UNBOUNDED PRECEDING)) AS wealth FROM ({DAILY_SQL}) WHERE ret > -1)
+"""
+
+
+@query(
+    f"""WITH a AS (
+        SELECT code, count(ret) AS n, exp(avg(ln(1 + ret))) - 1 AS geometric_mean, avg(CAST(ret <> 0 AS DOUBLE)) AS exposure, avg(CASE WHEN ret > 0 THEN ret END) AS avg_win, avg(CASE WHEN ret < 0 THEN ret END) AS avg_loss,
+               avg(CAST(ret > 0 AS DOUBLE)) AS win_rate, abs(quantile_cont(ret, 0.95) / quantile_cont(ret, 0.05)) AS tail_ratio, sum(CASE WHEN ret > 0 THEN ret END) / -sum(CASE WHEN ret < 0 THEN ret END) AS omega,
+               sum(ret) / -sum(CASE WHEN ret < 0 THEN ret END) AS gain_to_pain, avg(ret) - 1.6448536269514722 * stddev_samp(ret) AS value_at_risk, avg(CASE WHEN ret <= low THEN ret END) AS shortfall,
+               skewness(ret) AS skew, kurtosis(ret) AS kurtosis, quantile_cont(ret, 0.99) / avg(CASE WHEN ret >= 0 THEN ret END) AS outlier_win, quantile_cont(ret, 0.01) / avg(CASE WHEN ret < 0 THEN ret END) AS outlier_loss,
+               min(dd) AS max_drawdown, pow(exp(sum(ln(1 + ret))), 252.0 / count(ret)) - 1 AS cagr, sum(ret) / abs(min(dd)) AS recovery, sqrt(sum(dd * dd) / (count(ret) - 1)) AS ulcer, avg(ret) / stddev_samp(ret) AS risk_return
+        FROM ({WEALTH_SQL}) GROUP BY code)
+        SELECT * EXCLUDE (cagr), omega * tail_ratio AS common_sense, omega * win_rate * (avg_win / -avg_loss) AS cpc_index, ((avg_win / -avg_loss) * win_rate - (1 - win_rate)) / (avg_win / -avg_loss) AS kelly, cagr / abs(max_drawdown) AS calmar FROM a""",
+    ("geometric_mean", "exposure", "avg_win", "avg_loss", "win_rate", "tail_ratio", "omega", "gain_to_pain", "common_sense", "cpc_index", "kelly", "value_at_risk", "shortfall", "skew", "kurtosis", "outlier_win", "outlier_loss", "max_drawdown", "calmar", "recovery", "ulcer", "risk_return"),
+)
+def return_tear_sheet(spark, sf_dir):
+    return analytics.tear_sheet(daily(spark, sf_dir), "ret")
+
+
+@query(
+    f"""WITH r AS (SELECT code, date_, CAST(sign(ret) AS INTEGER) AS s FROM ({DAILY_SQL}) WHERE ret IS NOT NULL),
+        p AS (SELECT code, s, row_number() OVER (PARTITION BY code ORDER BY date_) - row_number() OVER (PARTITION BY code, s ORDER BY date_) AS run FROM r), n AS (SELECT code, s, run, count(*) AS n FROM p GROUP BY code, s, run)
+        SELECT code, coalesce(max(CASE WHEN s = 1 THEN n END), 0) AS wins, coalesce(max(CASE WHEN s = -1 THEN n END), 0) AS losses FROM n GROUP BY code"""
+)
+def return_streaks(spark, sf_dir):
+    return analytics.streaks(daily(spark, sf_dir), "ret")
+
+
+@query(
+    f"""WITH d AS (SELECT code, date_, dd, sum(CAST(dd >= 0 AS INTEGER)) OVER (PARTITION BY code ORDER BY date_ ROWS UNBOUNDED PRECEDING) AS spell FROM ({WEALTH_SQL}))
+        SELECT code, min(date_) AS start, max(date_) AS "end", count(*) AS n, min(dd) AS deepest FROM d WHERE dd < 0 GROUP BY code, spell""",
+    ("deepest",),
+)
+def drawdown_spells(spark, sf_dir):
+    return analytics.drawdown_spells(portfolio.drawdowns(daily(spark, sf_dir), "ret")).drop("valley")
+
+
+@query(
+    f"""WITH p AS (SELECT code, ret AS y, avg(ret) OVER (PARTITION BY date_) AS x FROM ({DAILY_SQL}))
+        SELECT code, covar_samp(y, x) / var_samp(x) AS beta, (avg(y) - covar_samp(y, x) / var_samp(x) * avg(x)) * 252 AS alpha, pow(covar_samp(y, x) / (stddev_samp(x) * stddev_samp(y)), 2) AS r2,
+               avg(y - x) / stddev_samp(y - x) AS information, avg(y) * 252 / (covar_samp(y, x) / var_samp(x)) AS treynor FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY code""",
+    ("beta", "alpha", "r2", "information", "treynor"),
+)
+def return_benchmark(spark, sf_dir):
+    panel = daily(spark, sf_dir).withColumn("market", F.avg("ret").over(Window.partitionBy("date_")))
+    return analytics.against(panel, "ret", "market")
+
+
+@query(
+    f"""WITH p AS (SELECT code, ret AS y, lag(ret) OVER (PARTITION BY code ORDER BY date_) AS x FROM ({DAILY_SQL})),
+        r AS (SELECT code, abs(covar_samp(y, x) / (stddev_samp(x) * stddev_samp(y))) AS r, count(*) + 1 AS n FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY code)
+        SELECT r.code, sqrt(1 + 2 * (SELECT sum((r.n - k) / CAST(r.n AS DOUBLE) * pow(r.r, k)) FROM range(1, 60000) t(k) WHERE k < r.n)) AS penalty FROM r""",
+    ("penalty",),
+)
+def return_autocorrelation_penalty(spark, sf_dir):
+    return analytics.autocorrelation_penalty(daily(spark, sf_dir), "ret")
