@@ -4,8 +4,8 @@ A text is cut into overlapping chunks of 16 bytes, one starting at every eighth
 byte, up to its end. Each byte has a learned embedding; learned filters look at a
 chunk's embeddings; the largest answer of each filter over all chunks, and its mean
 over all chunks, go into one logistic unit. The network is trained on a bounded
-sample of labelled rows: at most SAMPLE rows of each label and SAMPLE_BYTES in all,
-taken in the order of a hash of doc_id. Only the texts are inputs.
+sample of labelled rows: at most SAMPLE rows of each label and SAMPLE_BYTES in all, none longer than
+LEARNED_BYTES, taken in the order of a hash of doc_id. Only the texts are inputs.
 
 Defined results: a null or empty text is one chunk of padding, and scored as such;
 repeated rows get equal scores; rows labelled both ways count by their mean label,
@@ -27,6 +27,8 @@ STEP = 8
 EMBEDDING, FILTERS = 8, 24
 #: Labelled rows of each label, and text bytes in all, that the network is trained on.
 SAMPLE, SAMPLE_BYTES = 1500, 32 << 20
+#: Longer texts are scored, but not learned from; a step of training sees so many texts and bytes.
+LEARNED_BYTES, STEP_BYTES = 1 << 20, 1 << 19
 EPOCHS, BATCH, RATE, SEED = 6, 32, 0.01, 7
 #: Chunks that are worked on at once.
 CHUNKS = 1 << 16
@@ -134,9 +136,7 @@ def fit(texts: list[str], labels: list[float], *, epochs: int = EPOCHS, seed: in
     first, second = ({k: np.zeros(v.shape) for k, v in net.p.items()} for _ in range(2))
     step = 0
     for epoch in range(epochs):
-        order = rng.permutation(len(raw))
-        for at in range(0, len(order), BATCH):
-            some = order[at : at + BATCH]
+        for some in _steps(rng.permutation(len(raw)).tolist(), raw):
             offs = np.concatenate([[0], np.cumsum([len(raw[i]) for i in some])])
             grad = net.gradients(np.concatenate([raw[i] for i in some]), offs, label[some])
             step += 1
@@ -148,6 +148,19 @@ def fit(texts: list[str], labels: list[float], *, epochs: int = EPOCHS, seed: in
     return net
 
 
+def _steps(order: list[int], raw: list[np.ndarray]) -> list[list[int]]:
+    """The texts in small groups, bounded in number and bytes."""
+    out: list[list[int]] = [[]]
+    size = 0
+    for i in order:
+        if out[-1] and (len(out[-1]) == BATCH or size + len(raw[i]) > STEP_BYTES):
+            out.append([])
+            size = 0
+        out[-1].append(i)
+        size += len(raw[i])
+    return out
+
+
 def is_held_out(key: Column) -> Column:
     """Rows whose labels are not learned from."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -163,7 +176,10 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, sample_by
     ids = spark.createDataFrame([(int(r["doc_id"]), float(r["quality"] >= 0.5)) for r in chosen], "doc_id long, label double")
     rows, size = [], 0
     for r in docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():  # at most 2 x sample ids
-        size += len(r["text"].encode())
+        length = len(r["text"].encode())
+        if length > LEARNED_BYTES:
+            continue
+        size += length
         if size > sample_bytes or len(rows) >= 4 * sample:
             break
         rows.append((r["text"], r["label"]))
