@@ -108,3 +108,28 @@ def alpha_beta(data: DataFrame, factor: str, returns: str) -> DataFrame:
     both = own.join(market, "date_").where("market is not null and factor_return is not null")
     beta = F.try_divide(F.covar_samp(y, x), F.var_samp(x))
     return both.agg(beta.alias("beta"), (F.avg(y) - beta * F.avg(x)).alias("alpha"), F.count("*").alias("n"))
+
+
+def event_window(events: DataFrame, returns: DataFrame, column: str, before: int, after: int, by: str = "factor_quantile") -> DataFrame:
+    """Mean return of events' codes at each number of sessions from the event, by group.
+
+    Events take an equi-join per offset, and no range join; the sums are partial before the shuffle.
+    """
+    from quantloom.operators.align import sessions
+
+    calendar = sessions(returns)
+    placed = events.join(calendar, "date_").select("code", "k", by).withColumn("offset", F.explode(F.sequence(F.lit(-before), F.lit(after))))
+    around = placed.select("code", (F.col("k") + F.col("offset")).alias("k"), "offset", by)
+    there = returns.join(calendar, "date_").select("code", "k", F.col(column).alias("r"))
+    return around.join(there, ["code", "k"]).groupBy(by, "offset").agg(F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"), F.count("r").alias("n"))
+
+
+def holding_periods(data: DataFrame, prices: DataFrame, factor: str, horizons: Sequence[int], q: int = 5) -> DataFrame:
+    """Spread and mean rank correlation of a factor at several horizons: one row per horizon."""
+    joined = data.select("date_", "code", factor).join(forward_returns(prices, horizons), ["date_", "code"])
+    bucketed = quantiles(joined, factor, q)
+    long = bucketed.select("date_", "code", factor, "factor_quantile", F.explode(F.create_map(*(x for n in horizons for x in (F.lit(n), F.col(f"fwd_{n}"))))).alias("horizon", "fwd"))
+    ic = information_coefficient(long, factor, ["fwd"], by=("date_", "horizon")).groupBy("horizon").agg(F.avg("ic_fwd").alias("ic"))
+    top, low = (F.avg(F.when(F.col("factor_quantile") == k, F.col("fwd"))) for k in (q, 1))
+    per_date = long.groupBy("horizon", "date_").agg((top - low).alias("spread"))
+    return per_date.groupBy("horizon").agg(F.avg("spread").alias("spread"), F.stddev_samp("spread").alias("std"), F.count("spread").alias("n")).join(ic, "horizon")

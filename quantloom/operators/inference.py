@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,3 +84,26 @@ def select_independent(scores: list[tuple[str, float]], correlation: dict[tuple[
         if all(abs(correlation.get((name, c), correlation.get((c, name), 0.0)) or 0.0) < limit for c in chosen):
             chosen.append(name)
     return chosen
+
+
+def bootstrap_interval(values: list[float], times: int = 1000, alpha: float = 0.05, seed: int = 0) -> tuple[float, float]:
+    """Percentile interval of the mean of a short series, as of coefficients per date."""
+    x = np.array([v for v in values if v is not None], float)
+    means = np.random.default_rng(seed).choice(x, (times, len(x))).mean(axis=1)
+    low, high = np.quantile(means, [alpha / 2, 1 - alpha / 2])
+    return float(low), float(high)
+
+
+def permutation_p(values: list[float], times: int = 1000, seed: int = 0) -> float:
+    """Two-sided p value of a mean against zero, by random signs."""
+    x = np.array([v for v in values if v is not None], float)
+    signs = np.random.default_rng(seed).choice([-1.0, 1.0], (times, len(x)))
+    return float((np.abs((signs * x).mean(axis=1)) >= abs(x.mean()) - 1e-12).sum() + 1) / (times + 1)
+
+
+def split_means(ic: DataFrame, column: str) -> DataFrame:
+    """Means of the first and the second half of the dates; one row per date goes through one task."""
+    w = Window.orderBy("date_")
+    rows = ic.where(F.col(column).isNotNull()).select(column, F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
+    half = F.col("i") <= F.floor(F.col("n") / 2)
+    return rows.agg(F.avg(F.when(half, F.col(column))).alias("first"), F.avg(F.when(~half, F.col(column))).alias("second"))

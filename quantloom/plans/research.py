@@ -468,3 +468,33 @@ def return_benchmark(spark, sf_dir):
 )
 def return_autocorrelation_penalty(spark, sf_dir):
     return analytics.autocorrelation_penalty(daily(spark, sf_dir), "ret")
+
+
+@query(
+    f"""WITH q AS ({QUANTILE_SQL}), p AS (SELECT date_, code, ret FROM ({MONTHLY_SQL})), s AS (SELECT date_, row_number() OVER (ORDER BY date_) AS k FROM (SELECT DISTINCT date_ FROM p)),
+        e AS (SELECT q.code, s.k, q.factor_quantile FROM q JOIN s USING (date_)), r AS (SELECT p.code, s.k, p.ret FROM p JOIN s USING (date_))
+        SELECT factor_quantile, CAST(o AS INTEGER) AS "offset", avg(ret) AS mean, stddev_samp(ret) AS std, count(ret) AS n FROM e, range(-2, 4) t(o), r WHERE r.code = e.code AND r.k = e.k + o GROUP BY factor_quantile, o""",
+    ("mean", "std"),
+)
+def event_window_returns(spark, sf_dir):
+    return evaluation.event_window(quantile_data(spark, sf_dir), monthly(spark, sf_dir), "ret", 2, 3)
+
+
+@query(
+    f"""WITH i AS (SELECT ic_fwd_1 AS ic, row_number() OVER (ORDER BY date_) AS i, count(*) OVER () AS n FROM ({IC_SQL}) WHERE ic_fwd_1 IS NOT NULL)
+        SELECT avg(CASE WHEN i <= n // 2 THEN ic END) AS first, avg(CASE WHEN i > n // 2 THEN ic END) AS second FROM i""",
+    ("first", "second"),
+)
+def ic_split(spark, sf_dir):
+    return inference.split_means(ic_spearman(spark, sf_dir), "ic_fwd_1")
+
+
+@query(
+    f"""WITH q AS ({QUANTILE_SQL}), l AS (SELECT date_, code, factor, factor_quantile, 1 AS horizon, fwd_1 AS fwd FROM q UNION ALL SELECT date_, code, factor, factor_quantile, 3, fwd_3 FROM q),
+        s AS (SELECT horizon, date_, avg(CASE WHEN factor_quantile = 5 THEN fwd END) - avg(CASE WHEN factor_quantile = 1 THEN fwd END) AS spread FROM l GROUP BY horizon, date_)
+        SELECT CAST(horizon AS INTEGER) AS horizon, avg(spread) AS spread, stddev_samp(spread) AS std, count(spread) AS n FROM s GROUP BY horizon""",
+    ("spread", "std"),
+)
+def horizon_spreads(spark, sf_dir):
+    data = factor_data(spark, sf_dir)
+    return evaluation.holding_periods(data, monthly(spark, sf_dir), "factor", [1, 3]).drop("ic")

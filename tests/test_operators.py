@@ -131,3 +131,10 @@ def test_preparation(spark):
     assert {r.code: r.v for r in prepare.impute(clean, "v", "median").collect()} == {"A": 1.0, "B": 2.0, "C": 3.0, "D": 2.0}
     assert {r.code: r.bin for r in prepare.bin_edges(clean, "v", [0.0, 1.0, 3.0]).collect()} == {"A": 0, "B": None, "C": 1, "D": None}
     assert [r.code_1 for r in prepare.one_hot(clean, "code", ["A", "B"]).orderBy("code").collect()] == [0, 1, 0, 0]
+
+
+def test_resampled_inference():
+    values = [0.1, 0.2, 0.15, 0.12, 0.18, None, 0.11, 0.14]
+    low, high = inference.bootstrap_interval(values)
+    assert 0.1 < low < 0.143 < high < 0.2
+    assert inference.permutation_p(values) < 0.05 < inference.permutation_p([0.1, -0.1, 0.05, -0.06])
