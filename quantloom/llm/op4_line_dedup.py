@@ -1,9 +1,11 @@
 """Line dedup by pairwise alignment.
 
-A document is compared with the first documents that hold its repeated lines: each line
-that several documents hold proposes one pair, (document, first holder of the line), so
-a line in thousands of documents makes thousands of pairs and not millions, and no line
-is too frequent to count. A pair's lines are aligned by patience diff: lines that
+A document is compared with the first documents that hold its repeated lines and runs:
+each line, and each shortest run of lines from or up to a line that has MIN_WORDS words,
+proposes one pair, (document, its first holder). Any block that is long enough is
+covered by such runs, so each part of it has a partner that holds this part whole,
+whoever holds the single lines first. A line in thousands of documents makes thousands
+of pairs and not millions, and no line is too frequent to count. A pair's lines are aligned by patience diff: lines that
 occur once in either document are anchors, the longest rising chain of them is kept,
 and the gaps between are aligned likewise. Aligned lines that follow one another in both
 documents are a block; blocks of at least MIN_WORDS words are deleted from the later
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import DARK, byte_set, pieces, runs, span_hashes, stored, text_bytes, unused
+from quantloom.llm.common import DARK, byte_set, mix, pieces, powers, runs, span_hashes, stored, text_bytes, unused
 
 #: Words in the smallest block that is deleted.
 MIN_WORDS = 10
@@ -55,6 +57,26 @@ def lines_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, words, first
 
 
+def runs_of(hashes: np.ndarray, words: np.ndarray, first: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shortest runs of two or more lines with enough words, from every line on and up to every line; per text the first.
+
+    A line with enough words is a run of its own, and has its own hash.
+    """
+    n = len(words)
+    sums = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    some = np.flatnonzero(words > 0)
+    ends = np.searchsorted(sums, sums[some] + min_words)
+    begins = np.searchsorted(sums, sums[some + 1] - min_words, "right") - 1
+    low, high = ends <= first[text[some] + 1], begins >= first[text[some]]
+    spans = np.unique(np.concatenate([some[low] * (n + 1) + ends[low], begins[high] * (n + 1) + some[high] + 1]))
+    a, b = spans // (n + 1), spans % (n + 1)
+    a, b = a[b - a > 1], b[b - a > 1]
+    up, down = powers(n + 1)
+    marks = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:-1], dtype=np.uint64)])
+    return mix((marks[b] - marks[a]) * down[a] + (b - a).astype(np.uint64)), np.searchsorted(a, first)
+
+
 def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Patience diff: pairs of equal lines, rising in both."""
     out: list[tuple[int, int]] = []
@@ -127,10 +149,17 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, "text"):
             hashes, words, first = lines_of(piece.column("text"))
-            offsets = pa.array(first, pa.int32())
+            marks, start = runs_of(hashes, words, first)
+            offsets, starts = pa.array(first, pa.int32()), pa.array(start, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), piece.column("h"), pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64), pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(words, pa.int32()))],
-                ["doc_id", "h", "lines", "words"],
+                [
+                    piece.column("doc_id"),
+                    piece.column("h"),
+                    pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64), pa.int64())),
+                    pa.ListArray.from_arrays(offsets, pa.array(words, pa.int32())),
+                    pa.ListArray.from_arrays(starts, pa.array(marks.view(np.int64), pa.int64())),
+                ],
+                ["doc_id", "h", "lines", "words", "runs"],
             )
 
 
@@ -152,8 +181,8 @@ def _digest():
 def deletions(docs: DataFrame) -> DataFrame:
     """(doc_id, h, found, partners): lines to delete of documents that have some; h is the digest of the text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    listed = stored(rows.mapInArrow(_lines, "doc_id long, h binary, lines array<long>, words array<int>"))
-    held = listed.select(_key().alias("k"), F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
+    listed = stored(rows.mapInArrow(_lines, "doc_id long, h binary, lines array<long>, words array<int>, runs array<long>"))
+    held = listed.select(_key().alias("k"), F.explode(F.array_distinct(F.concat("lines", "runs"))).alias("line")).where("line <> 0")
     shared = held.groupBy("line").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first <> last").select("line", "first")
     pairs = held.join(shared, "line").where("k <> first").groupBy("k", "first").agg(F.lit(1).alias("one")).drop("one")
     own = listed.groupBy("doc_id", "h").agg(F.first("lines").alias("lines"), F.first("words").alias("words")).withColumn("k", _key())

@@ -191,6 +191,31 @@ def test_line_dedup_hot_line(spark):
     assert got[0] == rows[0][1] and all(got[i] == f"own line {i}\nlast {i}" for i in range(1, 300))
 
 
+def test_line_dedup_blocks_with_scattered_first_holders(spark):
+    p = [" ".join(words(9, 700 + i)) for i in range(6)] + ["tail"]
+    alone = [(i, f"own {i}\n{line}\nend {i}") for i, line in enumerate(p)]
+    turned = [(20, "\n".join(x for line in p[::-1] for x in (line, "between")))]
+    for earlier in (alone, turned):
+        rows = [*earlier, (50, "\n".join(["c", *p, "d"])), (60, "\n".join(["e", *p, "f"])), (70, "\n".join(["g", *p[:1], "h"]))]
+        got = {r.doc_id: r.text for r in op4_line_dedup.without_repeats(docs(spark, rows)).collect()}
+        assert got[60] == "e\nf" and all(got[i] == t for i, t in rows if i != 60)
+
+
+def test_line_runs_cover_blocks():
+    r = random.Random(8)
+    for _ in range(100):
+        n = [r.choice([0, 1, 3, 9, 12]) for _ in range(r.randint(1, 12))]
+        cut = r.randint(0, len(n))
+        lines = np.array([r.randint(1, 9) if x else 0 for x in n], np.uint64)
+        marks, first = op4_line_dedup.runs_of(lines, np.array(n), np.array([0, cut, len(n)]))
+        for k, (a, b) in enumerate([(0, cut), (cut, len(n))]):
+            spans = {(i, next((j for j in range(i + 1, b + 1) if sum(n[i:j]) >= 10), None)) for i in range(a, b) if n[i]}
+            spans |= {(next((i for i in range(j - 1, a - 1, -1) if sum(n[i:j]) >= 10), None), j) for j in range(a + 1, b + 1) if n[j - 1]}
+            spans = [(i, j) for i, j in spans if i is not None and j is not None]
+            assert first[k + 1] - first[k] == sum(j - i > 1 for i, j in spans)
+            assert {i for i in range(a, b) if n[i] and sum(n[a:b]) >= 10} <= {x for i, j in spans for x in range(i, j)}
+
+
 def test_patience_alignment():
     a, b = list("abcxyz"), list("qabcpxyz")
     assert [a[i] for i, _ in op4_line_dedup.aligned(a, b)] == a
