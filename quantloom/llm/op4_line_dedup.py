@@ -6,10 +6,13 @@ proposes one pair, (document, its first holder). Any block that is long enough i
 covered by such runs, so each part of it has a partner that holds this part whole,
 whoever holds the single lines first. A line in thousands of documents makes thousands
 of pairs and not millions, and no line is too frequent to count. A pair's lines are aligned by patience diff: lines that
-occur once in either document are anchors, the longest rising chain of them is kept,
+occur once in both documents are anchors, the longest rising chain of them is kept,
 and the gaps between are aligned likewise. Aligned lines that follow one another in both
 documents are a block; blocks of at least MIN_WORDS words are deleted from the later
-document. A line's first holder keeps it, so nothing vanishes from the corpus.
+document. What lies between such blocks, where lines may stand twice and make no anchors,
+is aligned exactly: by the blocks, in the same order in both, that hold most words. A line's
+first holder keeps it, so nothing vanishes from the corpus. As an alignment is one to one, a
+passage that stands once in the earlier document and twice in the later goes once.
 
 Lines are compared without white space at their ends. Later means a larger doc_id; rows
 without one come last, rows with equal ids go by the digest of their texts. Defined
@@ -125,26 +128,104 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def repeated(later: list[int], words: list[int], earlier: list[int], min_words: int = MIN_WORDS) -> list[int]:
-    """Lines of the later document in aligned blocks of enough words."""
-    out: list[int] = []
-    block: list[int] = []
-    last = (-2, -2)
+Block = tuple[int, int, int]
 
-    def done() -> None:
-        if sum(words[i] for i in block) >= min_words:
-            out.extend(block)
-        block.clear()
 
-    for i, j in aligned(later, earlier):
-        if (i - 1, j - 1) != last:
-            done()
-        block.append(i)
-        last = (i, j)
-    done()
+def blocks_between(a: list[int], words: list[int], b: list[int], min_words: int) -> list[Block]:
+    """Blocks (start in a, start in b, lines) of enough words, rising in both, that hold most words in all.
+
+    Row by row over ``a``: ``best`` has the words in blocks before every place of ``b``, ``here`` those with
+    a block that ends at this line. A block starts as a run that its last line gives enough words, and grows from there.
+    """
+    common = set(a) & set(b)
+    most = total = 0
+    for x, n in zip(a, words, strict=True):
+        total = total + n if x in common else 0
+        most = max(most, total)
+    if most < min_words:
+        return []
+    at = {x: np.array([j for j, y in enumerate(b) if y == x]) for x in common}
+    m, sums = len(b), [0]
+    for n in words:
+        sums.append(sums[-1] + n)
+    best, node = np.zeros(m + 1, np.int64), np.full(m + 1, -1, np.int64)
+    rows: dict[int, tuple[np.ndarray, np.ndarray]] = {0: (best, node)}
+    blank = np.full(m + 1, -1, np.int64)
+    run, here, start, before = np.zeros(m + 1, np.int64), blank, blank, blank
+    found: list[tuple[int, int, int, int]] = []  # end in a, end in b, start in a, the block before
+    low = -1
+    for i, x in enumerate(a):
+        known = low + 1  # what starts before had enough words a line ago
+        while sums[i + 1] - sums[low + 1] >= min_words:
+            low += 1
+        if x not in common:
+            run, here = np.zeros(m + 1, np.int64), blank
+        else:
+            j = at[x]
+            length = run[j] + 1
+            score, begin, last = np.where(here[j] >= 0, here[j] + words[i], -1), start[j], before[j]
+            for first in range(known, low + 1):
+                n = i + 1 - first
+                new = np.flatnonzero(length >= n)
+                top, tops = rows[first]
+                fresh = top[j[new] + 1 - n] + sums[i + 1] - sums[first]
+                new, fresh = new[fresh > score[new]], fresh[fresh > score[new]]
+                score[new], begin[new], last[new] = fresh, first, tops[j[new] + 1 - n]
+            run = np.zeros(m + 1, np.int64)
+            here, start, before = blank.copy(), blank.copy(), blank.copy()
+            run[j + 1], here[j + 1], start[j + 1], before[j + 1] = length, score, begin, last
+            if (score > best[j + 1]).any():
+                over = np.maximum.accumulate(np.maximum(best, here))
+                ends = np.flatnonzero((here > best) & (here == over) & (over > np.concatenate([[-1], over[:-1]])))
+                source = np.zeros(m + 1, np.int64)
+                source[ends] = len(found) + np.arange(len(ends))
+                found.extend((i + 1, int(e), int(start[e]), int(before[e])) for e in ends)
+                best, node = over, np.where(over > best, np.maximum.accumulate(source), node)
+        for k in range(known, low + 1):
+            del rows[k]
+        rows[i + 1] = (best, node)
+    out, k = [], int(node[m])
+    while k >= 0:
+        i, j, begin, k = found[k]
+        out.append((begin, j - (i - begin), i - begin))
+    return out[::-1]
+
+
+def _grown(blocks: list[Block], a: list[int], b: list[int]) -> list[Block]:
+    """Blocks with the equal lines next to them that no other block has."""
+    out: list[Block] = []
+    ends = [*blocks[1:], (len(a), len(b), 0)]
+    alo = blo = 0
+    for (i, j, n), (ahi, bhi, _) in zip(blocks, ends, strict=False):
+        while i > alo and j > blo and a[i - 1] == b[j - 1]:
+            i, j, n = i - 1, j - 1, n + 1
+        while i + n < ahi and j + n < bhi and a[i + n] == b[j + n]:
+            n += 1
+        alo, blo = i + n, j + n
+        out.append((i, j, n))
     return out
 
 
+def repeated(later: list[int], words: list[int], earlier: list[int], min_words: int = MIN_WORDS) -> list[int]:
+    """Lines of the later document in aligned blocks of enough words."""
+    blocks: list[Block] = []
+    for i, j in aligned(later, earlier):
+        x, y, n = blocks[-1] if blocks else (-1, -1, 0)
+        if (x + n, y + n) == (i, j):
+            blocks[-1] = (x, y, n + 1)
+        else:
+            blocks.append((i, j, 1))
+    blocks = _grown([(i, j, n) for i, j, n in blocks if sum(words[i : i + n]) >= min_words], later, earlier)
+    whole: list[Block] = []
+    alo = blo = 0
+    for i, j, n in [*blocks, (len(later), len(earlier), 0)]:
+        whole += [(alo + x, blo + y, k) for x, y, k in blocks_between(later[alo:i], words[alo:i], earlier[blo:j], min_words)]
+        if n:
+            whole.append((i, j, n))
+        alo, blo = i + n, j + n
+    return [x for i, _, n in _grown(whole, later, earlier) for x in range(i, i + n)]
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, "text"):

@@ -216,6 +216,39 @@ def test_line_runs_cover_blocks():
             assert {i for i in range(a, b) if n[i] and sum(n[a:b]) >= 10} <= {x for i, j in spans for x in range(i, j)}
 
 
+def test_line_dedup_repeats_inside_a_document(spark):
+    p = " ".join(words(60, 9))
+    for earlier, later, left in (("x\nP\ny", "u\nP\nv\nP\nw", {"u\nv\nP\nw", "u\nP\nv\nw"}), ("x\nP\ny\nP\nz", "u\nP\nv", {"u\nv"}), ("x\nP\ny\nP\nz", "u\nP\nv\nP\nw", {"u\nv\nw"})):
+        rows = [(i, t.replace("P", p)) for i, t in enumerate((earlier, later))]
+        got = {r.doc_id: r.text for r in op4_line_dedup.without_repeats(docs(spark, rows)).collect()}
+        assert got[0] == rows[0][1] and got[1].replace(p, "P") in left
+
+
+def most_words(a, n, b, enough):
+    """Most words in common blocks that rise in both, by all of them."""
+    top = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            top[i][j] = max(top[i - 1][j], top[i][j - 1])
+            k = 1
+            while k <= min(i, j) and a[i - k] == b[j - k]:
+                if sum(n[i - k : i]) >= enough:
+                    top[i][j] = max(top[i][j], top[i - k][j - k] + sum(n[i - k : i]))
+                k += 1
+    return top[-1][-1]
+
+
+def test_blocks_between_hold_most_words():
+    r = random.Random(12)
+    for _ in range(600):
+        a, b = ([r.randint(0, 3) for _ in range(r.randint(0, 11))] for _ in range(2))
+        n = [(0, 3, 5, 11)[x] for x in a]
+        blocks = op4_line_dedup.blocks_between(a, n, b, 10)
+        assert all(a[i : i + k] == b[j : j + k] and sum(n[i : i + k]) >= 10 for i, j, k in blocks)
+        assert all(x[0] + x[2] <= y[0] and x[1] + x[2] <= y[1] for x, y in zip(blocks, blocks[1:], strict=False))
+        assert sum(sum(n[i : i + k]) for i, j, k in blocks) == most_words(a, n, b, 10)
+
+
 def test_patience_alignment():
     a, b = list("abcxyz"), list("qabcpxyz")
     assert [a[i] for i, _ in op4_line_dedup.aligned(a, b)] == a
