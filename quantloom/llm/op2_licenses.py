@@ -1,6 +1,8 @@
 """License scans by sentence rules.
 
-A text is cut into sentences; each is normalised (lower case, one blank between words,
+A text is cut into pieces wherever a sentence may end; pieces that make a known sentence
+together (across wrapped lines, abbreviations, colons, or the blank line before an
+address) are joined, list numbers that stand alone are left out. Each sentence is normalised (lower case, one blank between words,
 no marks, comment signs or quotes, one spelling of "license", names and years of a
 copyright line left out) and looked up among known licence sentences. What is found is a
 sequence of identifiers, with gaps where other sentences stand. Rules are sequences of
@@ -28,6 +30,7 @@ SENTENCES = {
     "AllRights": "all rights reserved",
     "Copyright": "copyright #",
     "ApacheUnder": "licensed under the apache license version 2 0",
+    "ApacheUnder2": "licensed under the apache license version 2 0 the license",
     "ApacheNotExcept": "you may not use this file except in compliance with the license",
     "ApacheObtain": "you may obtain a copy of the license at #",
     "ApacheAsIs": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
@@ -36,15 +39,19 @@ SENTENCES = {
     "MITUnder2": "licensed under the mit license",
     "MITGrant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction #",
     "MITNotice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "MITNotice2": "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software",
     "MITNoWarranty": "the software is provided as is without warranty of any kind express or implied #",
     "MITNoLiability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability #",
     "ISCGrant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "ISCGrant2": "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "ISCNoWarranty": "the software is provided as is and the author disclaims all warranties with regard to this software #",
+    "ISCNoWarranty2": "the software is provided as is and # disclaims all warranties with regard to this software #",
     "BSDGrant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "BSDSource": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "BSDBinary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "BSDEndorse": "neither the name of # nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "BSDNoWarranty": "this software is provided by the copyright holders and contributors as is and any express or implied warranties #",
+    "BSDNoWarranty2": "this software is provided by # as is and any express or implied warranties #",
     "GPLUnder3": "this work is licensed under the gnu general public license version 3",
     "GPLUnder2": "this work is licensed under the gnu general public license version 2",
     "GPLFree": "# is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version # of the license or at your option any later version",
@@ -94,8 +101,17 @@ RULES = [
 #: A known sentence has one of these in it; so has one that may speak of licenses.
 TRIGGERS = ("licen", "copyright", "(c)", "©", "reserved", "permi", "warrant", "redistribut", "software", "unencumbered", "liable", "mpl", "gnu", "contributors")
 
-#: Where sentences end: at line ends, and at a mark before white space.
+#: Other wordings of a sentence.
+SAME = {"ApacheUnder2": "ApacheUnder", "MITNotice2": "MITNotice", "ISCGrant2": "ISCGrant", "ISCNoWarranty2": "ISCNoWarranty", "BSDNoWarranty2": "BSDNoWarranty"}
+
+#: Where sentences may end: at line ends, and at a mark before white space.
 _END = re.compile(r"[.!?:;](?=\s)|\n\s*\n|\n(?=\s*(?:[*#/;-]|\d+\.|\()|\s*[A-Z])")
+#: Where a sentence with an open end is over.
+_OVER = re.compile(r"[.!?]|:(?=\s*\n)|\n[\s*#/;-]*\n|\n(?=\s*\d+\.\s)")
+#: A piece that is no more than a list mark or a comment sign.
+_MARK = re.compile(r"[\s*#/;•-]*(?:\(?(?:\d+|[a-zA-Z]|[ivx]+)[.):]?)?[\s*#/;-]*")
+#: Pieces, and ends of sentences among them, that a known sentence may be spread over.
+MAX_PIECES, MAX_ENDS = 40, 3
 _NOISE = re.compile(r"[^a-z0-9#]+")
 _SPELL = re.compile(r"\blicenc")
 _COPYRIGHT = re.compile(r"^(?:\(c\)|©|copyright)[\W_]*(?:\(c\)|©|\d)|^copyright\b", re.I)
@@ -106,14 +122,22 @@ def normalise(sentence: str) -> str:
     return "copyright #" if _COPYRIGHT.match(sentence.strip(" \t*/#;-")) else text
 
 
-def cut(text: str) -> list[tuple[int, int]]:
-    """Spans of the sentences of a text."""
-    out, at = [], 0
+def cut(text: str) -> list[tuple[int, int, bool]]:
+    """Spans of the pieces of a text, and whether a sentence is over after each."""
+    out: list[tuple[int, int, bool]] = []
+
+    def add(a: int, b: int, over: bool) -> None:
+        if text[a:b].strip():
+            out.append((a, b, over))
+        elif out and over:
+            out[-1] = (*out[-1][:2], True)
+
+    at = 0
     for m in _END.finditer(text):
-        out.append((at, m.end()))
+        add(at, m.end(), _OVER.match(text, m.start()) is not None)
         at = m.end()
-    out.append((at, len(text)))
-    return [(a, b) for a, b in out if text[a:b].strip()]
+    add(at, len(text), True)
+    return out
 
 
 class Known:
@@ -123,12 +147,47 @@ class Known:
         self.exact = {s: k for k, s in sentences.items() if "#" not in s}
         self.open = [(k, re.compile("^" + re.escape(s).replace(r"\#", r"\S.*") + "$")) for k, s in sentences.items() if "#" in s and s != "copyright #"]
         self.exact["copyright #"] = "Copyright"
+        self.loose = {k for k, s in sentences.items() if s.endswith("#")}
+        self.starts: dict[str, list[str]] = {}
+        for s in sentences.values():
+            if s[0] != "#" and s != "copyright #":
+                self.starts.setdefault(s.split()[0], []).append(s.split("#")[0].strip())
+        self.inner = {" ".join(s.split()[1:4]) for s in sentences.values() if s[0] == "#"}
+
+    def may_start(self, piece: str) -> bool:
+        """Whether a known sentence may begin with this normalised piece and go on."""
+        starts = self.starts.get(piece.split(" ", 1)[0], ())
+        return any(s.startswith(piece) or piece.startswith(s) for s in starts) or any(s in piece for s in self.inner)
 
     def name(self, sentence: str) -> str | None:
         found = self.exact.get(sentence)
         if found is None:
             found = next((k for k, p in self.open if p.match(sentence)), None)
-        return found
+        return SAME.get(found, found)
+
+    def joined(self, text: str, pieces: list[tuple[int, int, bool]], at: int) -> tuple[str, int] | None:
+        """The known sentence that begins with a piece, and the piece after it."""
+        if not self.may_start(normalise(text[slice(*pieces[at][:2])])):
+            return None
+        ends = 0
+        for to in range(at, min(at + MAX_PIECES, len(pieces))):
+            found = self.name(normalise(text[pieces[at][0] : pieces[to][1]]))
+            if found is not None:
+                return found, to + 1
+            ends += pieces[to][2]
+            if ends > MAX_ENDS:
+                break
+        return None
+
+    def spread(self, text: str, pieces: list[tuple[int, int, bool]], at: int) -> tuple[str, int] | None:
+        """The same, with the rest of a sentence whose end is open: up to where it is over or a known one begins."""
+        found = self.joined(text, pieces, at)
+        if found is None or found[0] not in self.loose:
+            return found
+        to = found[1]
+        while to < len(pieces) and not pieces[to - 1][2] and self.name(normalise(text[slice(*pieces[to][:2])])) is None and self.joined(text, pieces, to) is None:
+            to += 1
+        return found[0], to
 
 
 def match(names: list[str | None], rules: list[tuple[str, tuple[str, ...]]] = RULES) -> list[tuple[str, int, int]]:
@@ -147,14 +206,23 @@ def match(names: list[str | None], rules: list[tuple[str, tuple[str, ...]]] = RU
 def scan_text(text: str, known: Known) -> tuple[list[str], list[str], list[int], list[int], int]:
     """Licenses, identifiers, and spans of a text's known sentences; number of unknown ones that speak of licenses."""
     names, spans, unknown = [], [], 0
-    for a, b in cut(text):
+    pieces = cut(text)
+    i = 0
+    while i < len(pieces):
+        a, b, _ = pieces[i]
         sentence = text[a:b]
+        if _MARK.fullmatch(sentence):
+            i += 1
+            continue
         low = sentence.lower()
-        if any(t in low for t in TRIGGERS):
-            name = known.name(normalise(sentence))
-            unknown += name is None and "licen" in low
+        known_here = known.spread(text, pieces, i)
+        if known_here is not None:
+            name, i = known_here
+            b = pieces[i - 1][1]
         else:
-            name = None
+            name = known.name(normalise(sentence)) if any(t in low for t in TRIGGERS) else None
+            unknown += name is None and "licen" in low
+            i += 1
         names.append(name)
         spans.append((a, b))
     found = [i for i, n in enumerate(names) if n]

@@ -96,6 +96,99 @@ def test_license_prefilter_loses_nothing():
         assert known.name(op2_licenses.normalise(filled)) is not None, filled
 
 
+DISCLAIMED = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+"""
+ENDORSE = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+GNU = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU {0}General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {0}General Public License for more details.
+
+You should have received a copy of the GNU {0}General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+NOTICES = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE.
+""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS.
+""",
+    "BSD-2-Clause": BSD + DISCLAIMED,
+    "BSD-3-Clause": BSD + ENDORSE + DISCLAIMED,
+    "GPL": GNU.format(""),
+    "LGPL": GNU.format("Lesser "),
+    "AGPL": GNU.format("Affero "),
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+}
+
+
+@pytest.mark.parametrize("license_", NOTICES)
+@pytest.mark.parametrize("sign", ["", " * ", "# ", "// "])
+def test_license_notices_as_published(license_, sign):
+    text = "".join(sign + line for line in ("Copyright (c) 2020 Someone\n\n" + NOTICES[license_]).splitlines(True))
+    found, sentences, starts, ends, _ = op2_licenses.scan_text(text, op2_licenses.Known())
+    longest = max((rule for name, rule in op2_licenses.RULES if name == license_), key=len)
+    assert found == [license_] and [s for s in sentences if s in longest] == list(longest)
+    assert all(a < b for a, b in zip(starts, ends, strict=True)) and all(b <= a for a, b in zip(starts[1:], ends, strict=False))
+
+
 def test_license_sequences_prefer_longer_rules():
     rules = [("short", ("A",)), ("long", ("A", "B"))]
     assert op2_licenses.match(["A", "B", None, "A"], rules) == [("long", 0, 2), ("short", 3, 4)]
