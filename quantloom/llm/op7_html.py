@@ -16,9 +16,10 @@ headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments o
 readers. If a page names its main part (``article``, ``main``), text comes from there.
 
 Pages with the same article on the same host count once in the tree, so copies of an
-article are no template; only what stands on at least half of a host's different pages, and on
-MIN_PAGES at least, can be of low importance. That keeps the table of such branches
-to about twice the size of one page per host; the pages of a host never meet in one task.
+article are no template. Only what stands on at least half of the m different articles that
+have its path, or is of an importance below LOW (on more than m**0.8 of them), is in the table
+of branches, from MIN_PAGES articles on. So the table has at most about m**0.2 or two
+pages' branches per host; the pages of a host never meet in one task.
 
 Defined results: null or empty html, or a page without text, gives an empty text;
 a null or unreadable url has the empty host; repeated rows stay; an empty table gives
@@ -377,12 +378,14 @@ def style_tree(pages: DataFrame) -> DataFrame:
         .where(F.col("m") >= MIN_PAGES)
     )
     flat = F.log(F.col("m").cast("double"))
-    entropy = of_path.where(F.col("top") * 2 >= F.col("m")).select("host", "path", F.lit(None).cast("long").alias("content"), ((flat - F.col("nlogn") / F.col("m")) / flat).alias("importance"))
+    entropy = (flat - F.col("nlogn") / F.col("m")) / flat
+    entropy = of_path.where((F.col("top") * 2 >= F.col("m")) | (entropy < LOW)).select("host", "path", F.lit(None).cast("long").alias("content"), entropy.alias("importance"))
+    rare = 1 - F.log(F.col("n").cast("double")) / F.log(F.col("m").cast("double"))
     content = (
         counts.where(F.col("content").isNotNull() & (F.col("n") * 2 >= MIN_PAGES))
         .join(of_path.select("host", "path", "m"), ["host", "path"])
-        .where(F.col("n") * 2 >= F.col("m"))
-        .select("host", "path", "content", (1 - F.log(F.col("n").cast("double")) / F.log(F.col("m").cast("double"))).alias("importance"))
+        .where((F.col("n") * 2 >= F.col("m")) | (rare < LOW))
+        .select("host", "path", "content", rare.alias("importance"))
     )
     return entropy.unionByName(content)
 
@@ -390,7 +393,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
-#: Hosts up to which their branches are broadcast (about 24 bytes a branch, two pages' branches a host); beyond it the pages are shuffled by host.
+#: Hosts up to which their branches are broadcast (about 24 bytes a branch, two pages' branches a host, more on hosts of more than 32 pages); beyond it the pages are shuffled by host.
 BROADCAST_HOSTS = 20_000
 
 
@@ -404,7 +407,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def host(urls: pa.Array) -> pa.Array:
         return pa.array([host_of(u) for u in urls.to_pylist()], pa.string())
 
-    low = style_tree(rows).where(F.col("importance") < 1).groupBy(F.col("host").alias("low_host")).agg(F.collect_list(F.struct("path", "content", "importance")).alias("low"))  # about twice a page's branches
+    low = style_tree(rows).where(F.col("importance") < 1).groupBy(F.col("host").alias("low_host")).agg(F.collect_list(F.struct("path", "content", "importance")).alias("low"))  # about two or m**0.2 times a page's branches
     low = stored(low)
     rows = rows.withColumn("host", F.xxhash64(host("url"))).join(F.broadcast(low) if low.count() <= BROADCAST_HOSTS else low, F.col("host") == F.col("low_host"), "left")
 

@@ -466,6 +466,15 @@ def test_html_style_tree_removes_templates(spark):
     assert got[100].startswith("Welcome to our site")  # three pages say nothing about a host
 
 
+def test_html_templates_of_a_part_of_a_large_host(spark):
+    page = "<body><div class=x><p>Text number {i} is here</p><p>{n}</p></div></body>"
+    rows = [(i, "http://large.example/p", page.replace("{i}", str(i)).replace("{n}", "Read our notice" if i % 5 < 2 else f"Note {i}")) for i in range(300)]
+    rows += [(1000 + i, "http://other.example/p", page.replace("{i}", str(i)).replace("{n}", "Read our notice" if i < 60 else f"Note {i}")) for i in range(300)]
+    got = {r.page_id: r.text for r in op7_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Text number {i} is here" + ("" if i % 5 < 2 else f"\nNote {i}") for i in range(300))  # 120 > 300**0.8 = 95.9
+    assert got[1000].endswith("Read our notice")  # 60 < 95.9
+
+
 def test_html_copies_are_no_template(spark):
     rows = [(i, "http://one.example/p", PAGE.replace("{i}", "copy")) for i in range(50)] + [(100 + i, "http://one.example/p", PAGE.replace("{i}", str(i))) for i in range(12)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
