@@ -1,13 +1,14 @@
 """The 101 formulaic alphas, as printed in the literature (arXiv:1601.00991), in plain text.
 
 Fixed values. Window lengths that aren't whole are cut; ``indneutralize`` takes
-the panel's group column whatever the class named. Formulas that test one rank
-against another give 0 or 1.
+the column of the class named (sector, industry, subindustry), or the panel's group
+where it has no such column. Formulas that test one rank against another give 0 or 1.
+A formula that chooses between values has none where what it tests is missing.
 """
 
 from __future__ import annotations
 
-from quantloom.functions.dsl import parse
+from quantloom.functions.dsl import call, parse
 from quantloom.functions.expr import Expr
 
 FORMULAS: dict[int, str] = {
@@ -20,7 +21,7 @@ FORMULAS: dict[int, str] = {
     7: "(adv20 < volume) ? ((-1 * ts_rank(abs(delta(close, 7)), 60)) * sign(delta(close, 7))) : (-1 * 1)",
     8: "-1 * rank((sum(open, 5) * sum(returns, 5)) - delay((sum(open, 5) * sum(returns, 5)), 10))",
     9: "(0 < ts_min(delta(close, 1), 5)) ? delta(close, 1) : ((ts_max(delta(close, 1), 5) < 0) ? delta(close, 1) : (-1 * delta(close, 1)))",
-    10: "rank((0 < ts_min(delta(close, 1), 4)) ? delta(close, 1) : ((ts_max(delta(close, 1), 4) < 0) ? delta(close, 1) : (-1 * delta(close, 1))))",
+    10: "rank(where((0 < ts_min(delta(close, 1), 4)) ? delta(close, 1) : ((ts_max(delta(close, 1), 4) < 0) ? delta(close, 1) : (-1 * delta(close, 1))), notna(ts_min(delta(close, 1), 4))))",
     11: "(rank(ts_max(vwap - close, 3)) + rank(ts_min(vwap - close, 3))) * rank(delta(volume, 3))",
     12: "sign(delta(volume, 1)) * (-1 * delta(close, 1))",
     13: "-1 * rank(covariance(rank(close), rank(volume), 5))",
@@ -115,8 +116,23 @@ FORMULAS: dict[int, str] = {
 }
 
 
+#: What formulas test, and without which they have no value.
+TESTED: dict[int, str] = {
+    7: "adv20",
+    9: "ts_min(delta(close, 1), 5)",
+    21: "sum(close, 8) + stddev(close, 8) + sum(close, 2) + adv20",
+    23: "sum(high, 20)",
+    24: "delta(sum(close, 100) / 100, 100) / delay(close, 100)",
+    27: "rank(sum(correlation(rank(volume), rank(vwap), 6), 2) / 2.0)",
+    46: "delay(close, 20)",
+    49: "delay(close, 20)",
+    51: "delay(close, 20)",
+}
+
+
 def alpha(number: int) -> Expr:
-    return parse(FORMULAS[number])
+    out = parse(FORMULAS[number])
+    return call("where", out, call("notna", parse(TESTED[number]))) if number in TESTED else out
 
 
 def alphas() -> dict[str, Expr]:

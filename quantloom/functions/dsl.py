@@ -28,7 +28,9 @@ ALIASES: dict[str, str] = {
     "rank": "cs_rank", "cs_rank_pct": "cs_rank", "rank_pct": "cs_rank", "rank_centered": "cs_rank_centered", "demean": "cs_demean", "zscore": "cs_zscore", "scale": "cs_scale",
     "cs_scale_minmax": "cs_minmax", "minmax_scale": "cs_minmax", "l1_normalize": "cs_l1", "l2_normalize": "cs_l2", "winsorize_quantile": "cs_winsorize", "top": "cs_top", "bottom": "cs_bottom",
     "indneutralize": "group_demean", "neutralize": "group_demean", "neutralize_by_group": "group_demean", "group_scale": "group_zscore", "group_neutralize": "group_demean",
-    "residual": "cs_residual", "max": "max2", "min": "min2", "nan_to_zero": "fillna", "astype_bool": "bool",
+    "residual": "cs_residual", "cs_regression_residual": "cs_residual", "ts_covariance": "ts_cov", "rolling_beta": "ts_beta", "ts_regbeta": "ts_beta", "ts_pctchange": "pct_change", "ts_std_dev": "ts_std", "ts_decay_linear": "decay_linear",
+    "ts_rank_pct": "ts_rank", "rolling_rank_pct": "ts_rank", "rolling_ir": "ts_sharpe", "rolling_mean_return": "ts_mean", "annualized_sharpe": "ts_sharpe", "rolling_sortino": "ts_sortino", "skew": "ts_skew", "kurt": "ts_kurt",
+    "rolling_max_drawdown": "ts_max_drawdown", "drawdown_series": "drawdown", "ma": "ts_mean", "cross_sectional_max": "cs_max", "cross_sectional_min": "cs_min", "combo_a": "combo", "shift_back": "lead", "backshift": "lead", "max": "max2", "min": "min2", "nan_to_zero": "fillna", "astype_bool": "bool",
 }
 
 COMPOSED: dict[str, Callable[..., Expr]] = {}
@@ -73,6 +75,227 @@ rolling_std = COMPOSED["rolling_std"] = std
 rolling_var = COMPOSED["rolling_var"] = var
 
 
+def _filled(x: Expr) -> Expr:
+    return Expr("ffill", (x,))
+
+
+@composed
+def ts_change(x: Expr, n: int = 1) -> Expr:
+    """Change over n rows in proportion, of values filled forward."""
+    return Expr("pct_change", (_filled(x),), n=n)
+
+
+ts_return = COMPOSED["ts_return"] = COMPOSED["rolling_momentum"] = ts_change
+
+
+@composed
+def ts_returns(x: Expr, n: int = 1, mode: int = 1) -> Expr:
+    """Plain (mode 1) or logarithmic (mode 0) return."""
+    return Expr("pct_change", (x,), n=n) if mode else log_return(x, n)
+
+
+@composed
+def log_return(x: Expr, n: int = 1) -> Expr:
+    return Expr("log", (x / Expr("delay", (x,), n=n),))
+
+
+@composed
+def ts_momentum(x: Expr, long: int = 252, short: int = 21) -> Expr:
+    """Long change less the short one, of values filled forward."""
+    return ts_change(x, long) - ts_change(x, short)
+
+
+momentum_12m_1m = COMPOSED["momentum_12m_1m"] = ts_momentum
+
+
+@composed
+def cumulative_return(x: Expr) -> Expr:
+    return Expr("cumprod", (x + 1.0,)) - 1.0
+
+
+COMPOSED["cumulative_returns"] = cumulative_return
+
+
+@composed
+def rolling_zscore(x: Expr, n: int, ddof: int = 0, least: int | None = None) -> Expr:
+    return Expr("ts_zscore", (x,), n=n, ddof=ddof, least=least)
+
+
+@composed
+def expanding_zscore(x: Expr, least: int = 20, ddof: int = 0) -> Expr:
+    return Expr("ts_zscore", (x,), n=None, ddof=ddof, least=least)
+
+
+@composed
+def rank_desc(x: Expr) -> Expr:
+    return Expr("cs_rank", (-x,))
+
+
+@composed
+def top_n(x: Expr, n: int) -> Expr:
+    """The n largest values of a date, the others missing."""
+    return Expr("where", (x, Expr("cs_top", (x,), n=n) > 0.0))
+
+
+@composed
+def bottom_n(x: Expr, n: int) -> Expr:
+    return Expr("where", (x, Expr("cs_bottom", (x,), n=n) > 0.0))
+
+
+@composed
+def rolling_volatility(x: Expr, n: int, periods: int = 1, least: int | None = None) -> Expr:
+    """Population deviation of returns, scaled to so many periods."""
+    return Expr("ts_std", (x,), n=n, ddof=0, least=least) * math.sqrt(periods)
+
+
+@composed
+def annualized_volatility(x: Expr, n: int = 252, periods: int = 252) -> Expr:
+    return rolling_volatility(x, n, periods)
+
+
+@composed
+def decay_exponential(x: Expr, halflife: float) -> Expr:
+    return ewm(x, halflife=halflife)
+
+
+@composed
+def ewm_std(x: Expr, span: float | None = None, halflife: float | None = None, alpha: float | None = None) -> Expr:
+    """Exponentially weighted deviation by span, half-life, or weight."""
+    return Expr("ewm_std", (x,), weight=float(_weight(span, halflife, alpha)))
+
+
+@composed
+def ts_av_diff(x: Expr, n: int) -> Expr:
+    return x - Expr("ts_mean", (x,), n=n)
+
+
+@composed
+def ts_scale(x: Expr, n: int, constant: float = 0.0) -> Expr:
+    return x * float(n) / (Expr("ts_sum", (Expr("abs", (x,)),), n=n) + constant)
+
+
+@composed
+def ts_winsorize(x: Expr, low: float = 0.01, high: float = 0.99, n: int | None = None) -> Expr:
+    """Clip at quantiles of a code's last n rows, or of all its rows."""
+    lo, hi = (Expr("time_quantile", (x,), q=q) if n is None else Expr("ts_quantile", (x,), n=n, q=q, least=1) for q in (low, high))
+    return Expr("clip", (x, lo, hi))
+
+
+@composed
+def ts_winsorize_mad(x: Expr, n: int, k: float = 5.0) -> Expr:
+    """Clip at a window's median and so many scaled median deviations around it."""
+    mid, wide = Expr("ts_median", (x,), n=n, least=1), Expr("ts_median_dev", (x,), n=n, least=1) * (k * ops.MAD)
+    return Expr("clip", (x, mid - wide, mid + wide))
+
+
+@composed
+def cs_standardize(x: Expr) -> Expr:
+    """Standard scores; dates without spread give 0."""
+    return Expr("ifelse", (Expr("isna", (x,)), x, Expr("fillna", (Expr("cs_zscore", (x,)), 0.0))))
+
+
+@composed
+def sumif(x: Expr, condition: Expr, n: int) -> Expr:
+    """Sum over the window's rows for which a condition holds."""
+    return Expr("ts_sum", (Expr("ifelse", (condition, x, 0.0)),), n=n)
+
+
+@composed
+def combo(x: Expr, n: int = 250) -> Expr:
+    return Expr("ts_mean", (x,), n=n, least=1)
+
+
+@composed
+def cs_minmax_pos(x: Expr) -> Expr:
+    """Scaled to 0 to 1; dates without spread give one half."""
+    return Expr("ifelse", (Expr("isna", (x,)), x, Expr("fillna", (Expr("cs_minmax", (x,)), 0.5))))
+
+
+@composed
+def cs_minmax_neg(x: Expr) -> Expr:
+    return 1.0 - cs_minmax_pos(x)
+
+
+@composed
+def col_minmax_pos(x: Expr, mask: Expr | None = None) -> Expr:
+    """Scaled by the least and largest value of the rows that a mask lets through."""
+    return Expr("cs_minmax", (x if mask is None else Expr("where", (x, mask)),))
+
+
+@composed
+def col_minmax_neg(x: Expr, mask: Expr | None = None) -> Expr:
+    return 1.0 - col_minmax_pos(x, mask)
+
+
+@composed
+def winsorize_cross_section(x: Expr, method: str = "mad", lower: float = 0.01, upper: float = 0.99, n_mad: float = 5.0) -> Expr:
+    return winsorize_mad(x, n_mad) if method == "mad" else Expr("cs_winsorize", (x,), lower=lower, upper=upper)
+
+
+winsorize_factor_panel = COMPOSED["winsorize_factor_panel"] = winsorize_cross_section
+
+
+@composed
+def normalize_cross_section(x: Expr, method: str = "zscore", clip: float | None = None, low: float = 0.0, high: float = 1.0) -> Expr:
+    """One of the ways to put a date's values on a common scale."""
+    ways = {"zscore": "cs_zscore", "rank": "cs_rank", "rank_centered": "cs_rank_centered", "l1": "cs_l1", "l2": "cs_l2", "demean": "cs_demean"}
+    if method == "none":
+        return x
+    if method == "minmax":
+        return Expr("cs_minmax", (x,), lo=low, hi=high)
+    out = robust_zscore(x) if method == "robust_zscore" else Expr(ways[method], (x,))
+    return out if clip is None else Expr("clip", (out, -clip, clip))
+
+
+scale_factor_panel = COMPOSED["scale_factor_panel"] = normalize_cross_section
+
+
+@composed
+def neutralize_cross_section(x: Expr, method: str = "group_zscore", exposure: Expr | None = None) -> Expr:
+    """Take a group's mean (and deviation), the line of an exposure, or both out of a date's values."""
+    if method == "regression":
+        return Expr("cs_demean", (x,)) if exposure is None else Expr("cs_residual", (x, exposure))
+    if method == "group_regression":
+        return Expr("group_demean", (x,)) if exposure is None else neutralize_size(x, exposure)
+    return Expr({"group_zscore": "group_zscore", "group_demean": "group_demean"}[method], (x,))
+
+
+neutralize_factor_panel = COMPOSED["neutralize_factor_panel"] = neutralize_cross_section
+
+
+@composed
+def preprocess_cross_section(x: Expr, winsorize: str | None = "mad", neutralize: str | None = None, normalize: str | None = "zscore", exposure: Expr | None = None) -> Expr:
+    out = x if winsorize is None else winsorize_cross_section(x, winsorize)
+    out = out if normalize is None else normalize_cross_section(out, normalize)
+    return out if neutralize is None else neutralize_cross_section(out, neutralize, exposure)
+
+
+@composed
+def group_dummy_regression_residual(x: Expr) -> Expr:
+    """Residual on dummies of the groups, which is the distance to the group's mean."""
+    return Expr("group_demean", (x,))
+
+
+COMPOSED["industry_regression_residual"] = COMPOSED["neutralize_industry"] = group_dummy_regression_residual
+
+
+@composed
+def industry_size_regression_residual(x: Expr, cap: Expr, logged: bool = True) -> Expr:
+    return neutralize_size(x, Expr("log", (cap,)) if logged else cap)
+
+
+@composed
+def neutralize_industry_size(x: Expr, size: Expr, k: float = 5.0) -> Expr:
+    """Clip, then the residual on group dummies and the standardised size."""
+    return neutralize_size(winsorize_mad(x, k), Expr("cs_zscore", (size,)))
+
+
+@composed
+def bucketize_quantiles(x: Expr, q: int = 10) -> Expr:
+    """Bucket 1 to q by percentile rank; ties are in one bucket."""
+    return Expr("bucket", (Expr("cs_rank", (x,)),), n=q)
+
+
 @composed
 def adv(n: int) -> Expr:
     """Mean volume."""
@@ -112,8 +335,11 @@ def true_range(high: Expr, low: Expr, close: Expr) -> Expr:
 @composed
 def ewm(x: Expr, span: float | None = None, halflife: float | None = None, alpha: float | None = None) -> Expr:
     """Exponentially weighted mean by span, half-life, or weight."""
-    weight = alpha if alpha is not None else 2.0 / (span + 1.0) if span is not None else 1.0 - 0.5 ** (1.0 / halflife)
-    return Expr("ewm_mean", (x,), weight=float(weight))
+    return Expr("ewm_mean", (x,), weight=float(_weight(span, halflife, alpha)))
+
+
+def _weight(span: float | None, halflife: float | None, alpha: float | None) -> float:
+    return alpha if alpha is not None else 2.0 / (span + 1.0) if span is not None else 1.0 - 0.5 ** (1.0 / halflife)
 
 
 for _name in ("rolling_ema", "ts_ema", "ema"):
@@ -256,7 +482,7 @@ def function(name: str, args: list) -> Expr:
     if name in ("min", "max") and len(args) == 2 and isinstance(args[1], float):
         return call(f"ts_{name}", args[0], int(args[1]))
     if name == "indneutralize":
-        return call("group_demean", args[0])
+        return Expr("group_demean", (args[0],), by=dict(args[1].params)["name"].rpartition(".")[2].lower())
     if name in ("scale",):
         return call("cs_scale", args[0], *(float(a) for a in args[1:]))
     if name == "sma" and len(args) == 3:

@@ -147,6 +147,8 @@ class Frame:
     date: str = "date_"
     code: str = "code"
     group: str = "industry"
+    #: Columns of other classes of codes, by the class's name in formulas; a class without one takes the group's.
+    classes: tuple[tuple[str, str], ...] = ()
     _unbounded: int = field(default=Window.unboundedPreceding, repr=False)
 
     @property
@@ -171,6 +173,9 @@ class Frame:
     def in_group(self):
         return Window.partitionBy(self.date, self.group)
 
+    def group_of(self, by: str | None):
+        return Window.partitionBy(self.date, dict(self.classes).get(by, self.group))
+
     @property
     def whole_group(self):
         return Window.partitionBy(self.group)

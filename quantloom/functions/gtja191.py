@@ -4,7 +4,7 @@ Fixed values. ``sma(x, n, m)`` is the recursive mean with weight m / n on the ne
 value; ``bigger`` and ``smaller`` compare two values of a row; ``slope(x, n)`` is the slope on
 1 to n. Formulas 75, 149, 181 and 182 need columns ``index_open`` and ``index_close`` of a
 benchmark; 30 regresses on three factors, see :func:`residual_30`; 143 refers to itself
-and has no value.
+and has no value; 149 has one only where the index fell on every row of its window, which must be full; 157 is the variant with a floor of 1 below its inner sum.
 """
 
 from __future__ import annotations
@@ -201,6 +201,7 @@ FORMULAS: dict[int, str] = {
     154: "bool((vwap - ts_min(vwap, 16)) < correlation(vwap, mean(volume, 180), 18))",
     155: "sma(volume, 13, 2) - sma(volume, 27, 2) - sma(sma(volume, 13, 2) - sma(volume, 27, 2), 10, 2)",
     156: "-1 * bigger(rank(decay_linear(delta(vwap, 5), 3)), rank(decay_linear(delta(open * 0.15 + low * 0.85, 2) / (open * 0.15 + low * 0.85) * -1, 3)))",
+    157: "ts_min(product(rank(rank(log(sum(ts_min(rank(rank(sum(bigger(rank(rank(log(sum(-1 * rank(delta(close - 1, 5)), 2)))), 1), 1))), 5), 1)))), 1), 5) + ts_rank(delay(-1 * returns, 6), 5)",
     158: "((high - sma(close, 15, 2)) - (low - sma(close, 15, 2))) / close",
     159: "((close - sum(smaller(low, delay(close, 1)), 6)) / sum(bigger(high, delay(close, 1)) - smaller(low, delay(close, 1)), 6) * 288 + (close - sum(smaller(low, delay(close, 1)), 12)) / sum(bigger(high, delay(close, 1)) - smaller(low, delay(close, 1)), 12) * 144 + (close - sum(smaller(low, delay(close, 1)), 24)) / sum(bigger(high, delay(close, 1)) - smaller(low, delay(close, 1)), 24) * 144) * 100 / 504",
     160: "sma((close <= delay(close, 1)) ? stddev(close, 20) : 0, 20, 1)",

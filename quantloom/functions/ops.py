@@ -203,6 +203,17 @@ def _round(f, x, n):
     return F.round(x, n) if isinstance(n, int) else F.round(x, 9)
 
 
+@op("bucket")
+def _bucket(f, x, n):
+    """Number from 1 of the bucket of a share."""
+    return F.when(x.isNotNull(), F.greatest(F.ceil(F.round(x * F.lit(n), 9)), F.lit(1))).cast("double")
+
+
+@op("sin")
+def _sin(f, x):
+    return F.sin(x)
+
+
 # -- over time, per code ----------------------------------------------------
 
 
@@ -226,40 +237,42 @@ simple("ts_median", lambda x: F.percentile(x, 0.5))
 
 
 @op("ts_quantile", TIME)
-def _ts_quantile(f, x, n, q):
-    return full(f, x, n, F.percentile(x, F.lit(q)).over(f.rows(n)))
+def _ts_quantile(f, x, n, q, least=None):
+    return full(f, x, n, F.percentile(x, F.lit(q)).over(f.rows(n)), least)
 
 
 @op("ts_std", TIME)
-def _ts_std(f, x, n, ddof=1):
-    return full(f, x, n, (F.stddev_samp(x) if ddof else F.stddev_pop(x)).over(f.rows(n)))
+def _ts_std(f, x, n, ddof=1, least=None):
+    return full(f, x, n, (F.stddev_samp(x) if ddof else F.stddev_pop(x)).over(f.rows(n)), least)
 
 
 @op("ts_var", TIME)
-def _ts_var(f, x, n, ddof=1):
-    return full(f, x, n, (F.var_samp(x) if ddof else F.var_pop(x)).over(f.rows(n)))
+def _ts_var(f, x, n, ddof=1, least=None):
+    return full(f, x, n, (F.var_samp(x) if ddof else F.var_pop(x)).over(f.rows(n)), least)
 
 
 @op("ts_skew", TIME)
-def _ts_skew(f, x, n):
-    """Bias-corrected, as Spark's own is of the population."""
+def _ts_skew(f, x, n, least=None):
+    """Bias-corrected, as Spark's own is of the population; null below three values."""
     w = f.rows(n)
-    flat = F.var_pop(x).over(w) > FLAT
-    return full(f, x, n, F.when(flat, F.skewness(x).over(w) * ((n * (n - 1)) ** 0.5 / (n - 2))))
+    c = F.count(x).over(w)
+    flat = (F.var_pop(x).over(w) > FLAT) & (c > 2)
+    return full(f, x, n, F.when(flat, F.skewness(x).over(w) * F.sqrt(c * (c - 1)) / (c - 2)), least)
 
 
 @op("ts_kurt", TIME)
-def _ts_kurt(f, x, n):
+def _ts_kurt(f, x, n, least=None):
     w = f.rows(n)
-    flat = F.var_pop(x).over(w) > FLAT
-    return full(f, x, n, F.when(flat, (F.kurtosis(x).over(w) * (n + 1) + 6) * ((n - 1) / ((n - 2) * (n - 3)))))
+    c = F.count(x).over(w)
+    flat = (F.var_pop(x).over(w) > FLAT) & (c > 3)
+    return full(f, x, n, F.when(flat, (F.kurtosis(x).over(w) * (c + 1) + 6) * (c - 1) / ((c - 2) * (c - 3))), least)
 
 
 @op("ts_zscore", TIME)
-def _ts_zscore(f, x, n, ddof=1):
+def _ts_zscore(f, x, n, ddof=1, least=None):
     w = f.rows(n)
     sd = (F.stddev_samp(x) if ddof else F.stddev_pop(x)).over(w)
-    return full(f, x, n, F.when(sd > 1e-9, (x - F.avg(x).over(w)) / sd))
+    return full(f, x, n or 2, F.when(sd > 1e-9, (x - F.avg(x).over(w)) / sd), least) if n else F.when((F.count(x).over(w) >= (least or 2)) & (sd > 1e-9), (x - F.avg(x).over(w)) / sd)
 
 
 @op("ts_argmax", TIME)
@@ -276,11 +289,11 @@ def _ts_argmin(f, x, n):
 
 
 @op("ts_rank", TIME)
-def _ts_rank(f, x, n):
-    """Percentile rank of the last value in its window; ties share their mean rank."""
+def _ts_rank(f, x, n, least=None):
+    """Percentile rank of the last value among those of its window; ties share their mean rank."""
     held = F.collect_list(x).over(f.rows(n))
     below, same = F.size(F.filter(held, lambda e: e < x)), F.size(F.filter(held, lambda e: e == x))
-    return full(f, x, n, (below + (same + 1) / 2) / F.lit(float(n)))
+    return full(f, x, n, F.when(x.isNotNull(), (below + (same + 1) / 2) / F.size(held)), least)
 
 
 def both(x: Column, y: Column) -> tuple[Column, Column]:
@@ -289,26 +302,26 @@ def both(x: Column, y: Column) -> tuple[Column, Column]:
 
 
 @op("ts_corr", TIME)
-def _ts_corr(f, x, y, n):
+def _ts_corr(f, x, y, n, least=None):
     x, y = both(x, y)
     w = f.rows(n)
     sx, sy = F.stddev_samp(x).over(w), F.stddev_samp(y).over(w)
     # rounded, as rounding noise would make an order among equal correlations
-    return full(f, x, n, F.when((sx > 1e-9) & (sy > 1e-9), F.round(F.covar_samp(x, y).over(w) / (sx * sy), 9)))
+    return full(f, x, n, F.when((sx > 1e-9) & (sy > 1e-9), F.round(F.covar_samp(x, y).over(w) / (sx * sy), 9)), least)
 
 
 @op("ts_cov", TIME)
-def _ts_cov(f, x, y, n):
+def _ts_cov(f, x, y, n, least=None):
     x, y = both(x, y)
-    return full(f, x, n, F.covar_samp(x, y).over(f.rows(n)))
+    return full(f, x, n, F.covar_samp(x, y).over(f.rows(n)), least)
 
 
 @op("ts_beta", TIME)
-def _ts_beta(f, y, x, n):
+def _ts_beta(f, y, x, n, least=None):
     y, x = both(y, x)
     w = f.rows(n)
     var = F.var_samp(x).over(w)
-    return full(f, x, n, F.when(var > FLAT, F.covar_samp(y, x).over(w) / var))
+    return full(f, x, n, F.when(var > FLAT, F.covar_samp(y, x).over(w) / var), least)
 
 
 @op("ts_slope", TIME)
@@ -399,10 +412,79 @@ def _bfill(f, x, limit=None):
 
 
 @op("ts_sharpe", TIME)
-def _ts_sharpe(f, x, n, periods=252):
+def _ts_sharpe(f, x, n, periods=252, rate=0.0, least=None):
+    """Mean over deviation of what a return has beyond a yearly rate, scaled to a year."""
     w = f.rows(n)
     sd = F.stddev_pop(x).over(w)
-    return full(f, x, n, F.when(sd > 1e-9, F.avg(x).over(w) / sd * F.lit(float(periods) ** 0.5)))
+    return full(f, x, n, F.when(sd > 1e-9, (F.avg(x).over(w) - F.lit(rate / periods)) / sd * F.lit(float(periods) ** 0.5)), least)
+
+
+@op("ts_sortino", TIME)
+def _ts_sortino(f, x, n, periods=252, rate=0.0, least=None):
+    """Mean over the root of the mean square of losses, over all rows of the window."""
+    w = f.rows(n)
+    e = x - F.lit(rate / periods)
+    down = F.sqrt(F.avg(F.when(e < 0, e * e).when(e.isNotNull(), 0.0)).over(w))
+    return full(f, x, n, F.when(down > 1e-9, F.avg(e).over(w) / down * F.lit(float(periods) ** 0.5)), least)
+
+
+@op("ts_ir", TIME)
+def _ts_ir(f, x, n, least=None):
+    w = f.rows(n)
+    sd = F.stddev_pop(x).over(w)
+    return full(f, x, n, F.when(sd > 1e-9, F.avg(x).over(w) / sd), least)
+
+
+@op("ts_max_drawdown", TIME)
+def _ts_max_drawdown(f, x, n, least=None):
+    """Deepest fall of a curve below its peak inside the window."""
+    held = F.collect_list(x).over(f.rows(n))
+    start = F.struct(F.lit(None).cast("double").alias("peak"), F.lit(0.0).alias("low"))
+
+    def step(a, v):
+        peak = F.greatest(a["peak"], v)
+        return F.struct(peak.alias("peak"), F.least(a["low"], F.try_divide(v, peak) - 1).alias("low"))
+
+    return full(f, x, n, F.aggregate(held, start, step)["low"], least)
+
+
+@op("ts_median_dev", TIME)
+def _ts_median_dev(f, x, n, least=None):
+    """Median distance of a window's values to their median."""
+    held = F.collect_list(x).over(f.rows(n))
+    mid = F.percentile(x, 0.5).over(f.rows(n))
+    far = F.sort_array(F.transform(held, lambda v: F.abs(v - mid)))
+    c = F.size(far)
+    return full(f, x, n, (F.get(far, F.floor((c - 1) / 2).cast("int")) + F.get(far, F.floor(c / 2).cast("int"))) / 2, least)
+
+
+@op("time_quantile", TIME)
+def _time_quantile(f, x, q):
+    """Quantile of all rows of a code."""
+    return F.percentile(x, F.lit(q)).over(f.all_time)
+
+
+@op("ewm_std", TIME)
+def _ewm_std(f, x, weight):
+    """Recursive deviation with ``weight`` on the newest value, corrected for bias; null for one value.
+
+    The weights of the mean and of the squares are those of :func:`_ewm_mean`; ``w2`` is the sum of their squares.
+    """
+    held = F.collect_list(x).over(f.rows(reach(weight)))
+    start = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(0.0).alias("var"), F.lit(1.0).alias("w2"))
+    old, new = F.lit(1 - weight), F.lit(weight)
+
+    def step(a, v):
+        d = v - a["mean"]
+        some = a["mean"].isNotNull()
+        return F.struct(
+            F.coalesce(a["mean"] + new * d, v).alias("mean"),
+            F.when(some, old * (a["var"] + new * d * d)).otherwise(0.0).alias("var"),
+            F.when(some, old * old * a["w2"] + new * new).otherwise(1.0).alias("w2"),
+        )
+
+    out = F.aggregate(held, start, step)
+    return F.when(x.isNotNull() & (F.size(held) > 1), F.sqrt(out["var"] / (1 - out["w2"])))
 
 
 @op("drawdown", TIME)
@@ -555,6 +637,18 @@ def _cs_residual(f, y, x):
     return py - F.avg(py).over(w) - slope * (px - F.avg(px).over(w))
 
 
+@op("cs_skew", CROSS)
+def _cs_skew(f, x):
+    """Bias-corrected skewness of a date; null below three values."""
+    c = F.count(x).over(f.cross)
+    return F.when((c > 2) & (F.var_pop(x).over(f.cross) > FLAT), F.skewness(x).over(f.cross) * F.sqrt(c * (c - 1)) / (c - 2))
+
+
+@op("cs_quantile_value", CROSS)
+def _cs_quantile_value(f, x, q):
+    return F.percentile(x, F.lit(q)).over(f.cross)
+
+
 @op("cs_corr", CROSS)
 def _cs_corr(f, x, y):
     x, y = both(x, y)
@@ -585,8 +679,23 @@ def _group_count(f, x):
 
 
 @op("group_demean", GROUP)
-def _group_demean(f, x):
-    return x - F.avg(x).over(f.in_group)
+def _group_demean(f, x, by=None):
+    return x - F.avg(x).over(f.group_of(by))
+
+
+@op("group_weighted_mean", GROUP)
+def _group_weighted_mean(f, x, y):
+    """Mean of a group weighted by another column, over rows that have both."""
+    x, y = both(x, y)
+    return F.try_divide(F.sum(x * y).over(f.in_group), F.sum(y).over(f.in_group))
+
+
+@op("group_backfill", TIME)
+def _group_backfill(f, x, n, std=4.0):
+    """What is missing, or further than ``std`` deviations from the mean of the last n rows, takes the next value within n rows."""
+    w = f.rows(n)
+    good = F.when(~(F.abs(x - F.avg(x).over(w)) > F.lit(std) * F.stddev_samp(x).over(w)) | F.stddev_samp(x).over(w).isNull(), x)
+    return F.coalesce(good, F.first(x, True).over(f.time.rowsBetween(1, n)))
 
 
 @op("group_zscore", GROUP)

@@ -82,6 +82,8 @@ SQL["clip_upper"] = lambda x, hi: f"(CASE WHEN {x} IS NOT NULL THEN least({x}, {
 SQL["max2"] = lambda a, b: f"greatest({a}, {b})"
 SQL["min2"] = lambda a, b: f"least({a}, {b})"
 SQL["replace"] = lambda x, old, new: f"(CASE WHEN {x} = {old} THEN {new} ELSE {x} END)"
+SQL["bucket"] = lambda x, n: f"CAST(CASE WHEN {x} IS NOT NULL THEN greatest(ceil(round({x} * {n}, 9)), 1) END AS DOUBLE)"
+SQL["sin"] = lambda x: f"sin({x})"
 SQL["round"] = lambda x, n: f"round({x}, {n})"
 
 
@@ -92,26 +94,31 @@ def full(x: str, n: int, e: str, least: int | None = None) -> str:
 for _name, _agg in (("ts_sum", "sum"), ("ts_mean", "avg"), ("ts_min", "min"), ("ts_max", "max"), ("ts_product", "product"), ("ts_count", "count"), ("ts_median", "median")):
     SQL[_name] = lambda x, n, least=None, a=_agg: full(x, n, f"{a}({x}) OVER {rows(n)}", least)
 
-SQL["ts_quantile"] = lambda x, n, q: full(x, n, f"quantile_cont({x}, {q!r}) OVER {rows(n)}")
-SQL["ts_std"] = lambda x, n, ddof=1: full(x, n, f"{'stddev_samp' if ddof else 'stddev_pop'}({x}) OVER {rows(n)}")
-SQL["ts_var"] = lambda x, n, ddof=1: full(x, n, f"{'var_samp' if ddof else 'var_pop'}({x}) OVER {rows(n)}")
-SQL["ts_skew"] = lambda x, n: full(x, n, f"CASE WHEN var_pop({x}) OVER {rows(n)} > 1e-12 THEN skewness({x}) OVER {rows(n)} END")
-SQL["ts_kurt"] = lambda x, n: full(x, n, f"CASE WHEN var_pop({x}) OVER {rows(n)} > 1e-12 THEN kurtosis({x}) OVER {rows(n)} END")
+SQL["ts_quantile"] = lambda x, n, q, least=None: full(x, n, f"quantile_cont({x}, {q!r}) OVER {rows(n)}", least)
+SQL["ts_std"] = lambda x, n, ddof=1, least=None: full(x, n, f"{'stddev_samp' if ddof else 'stddev_pop'}({x}) OVER {rows(n)}", least)
+SQL["ts_var"] = lambda x, n, ddof=1, least=None: full(x, n, f"{'var_samp' if ddof else 'var_pop'}({x}) OVER {rows(n)}", least)
+SQL["ts_skew"] = lambda x, n, least=None: full(x, n, f"CASE WHEN var_pop({x}) OVER {rows(n)} > 1e-12 AND count({x}) OVER {rows(n)} > 2 THEN skewness({x}) OVER {rows(n)} END", least)
+SQL["ts_kurt"] = lambda x, n, least=None: full(x, n, f"CASE WHEN var_pop({x}) OVER {rows(n)} > 1e-12 AND count({x}) OVER {rows(n)} > 3 THEN kurtosis({x}) OVER {rows(n)} END", least)
+SQL["ts_ir"] = lambda x, n, least=None: full(x, n, f"CASE WHEN stddev_pop({x}) OVER {rows(n)} > 1e-9 THEN (avg({x}) OVER {rows(n)}) / (stddev_pop({x}) OVER {rows(n)}) END", least)
+SQL["ts_median_dev"] = lambda x, n, least=None: full(x, n, f"mad({x}) OVER {rows(n)}", least)
+SQL["time_quantile"] = lambda x, q: f"quantile_cont({x}, {q!r}) OVER (PARTITION BY code)"
+SQL["cs_skew"] = lambda x: f"(CASE WHEN count({x}) OVER ({CROSS}) > 2 AND var_pop({x}) OVER ({CROSS}) > 1e-12 THEN skewness({x}) OVER ({CROSS}) END)"
+SQL["cs_quantile_value"] = lambda x, q: f"quantile_cont({x}, {q!r}) OVER ({CROSS})"
 SQL["ts_argmax"] = lambda x, n: full(x, n, f"CAST(list_position(list({x}) OVER {rows(n)}, max({x}) OVER {rows(n)}) - 1 AS DOUBLE)")
 SQL["ts_argmin"] = lambda x, n: full(x, n, f"CAST(list_position(list({x}) OVER {rows(n)}, min({x}) OVER {rows(n)}) - 1 AS DOUBLE)")
 
 
 @sql("ts_zscore")
-def _ts_zscore(x, n, ddof=1):
+def _ts_zscore(x, n, ddof=1, least=None):
     sd = f"{'stddev_samp' if ddof else 'stddev_pop'}({x}) OVER {rows(n)}"
-    return full(x, n, f"CASE WHEN {sd} > 1e-9 THEN ({x} - avg({x}) OVER {rows(n)}) / ({sd}) END")
+    return full(x, n or 2, f"CASE WHEN {sd} > 1e-9 THEN ({x} - avg({x}) OVER {rows(n)}) / ({sd}) END", least) if n else f"(CASE WHEN count({x}) OVER {rows(n)} >= {least or 2} AND {sd} > 1e-9 THEN ({x} - avg({x}) OVER {rows(n)}) / ({sd}) END)"
 
 
 @sql("ts_rank")
-def _ts_rank(x, n):
+def _ts_rank(x, n, least=None):
     held = f"list({x}) OVER {rows(n)}"
     below, same = f"len(list_filter({held}, lambda e: e < {x}))", f"len(list_filter({held}, lambda e: e = {x}))"
-    return full(x, n, f"({below} + ({same} + 1) / 2.0) / CAST({n} AS DOUBLE)")
+    return full(x, n, f"CASE WHEN {x} IS NOT NULL THEN ({below} + ({same} + 1) / 2.0) / CAST(count({x}) OVER {rows(n)} AS DOUBLE) END", least)
 
 
 def both(x: str, y: str) -> tuple[str, str]:
@@ -124,21 +131,21 @@ def _corr(x: str, y: str, over: str) -> str:
 
 
 @sql("ts_corr")
-def _ts_corr(x, y, n):
+def _ts_corr(x, y, n, least=None):
     x, y = both(x, y)
-    return f"round({full(x, n, _corr(x, y, rows(n)))}, 9)"
+    return f"round({full(x, n, _corr(x, y, rows(n)), least)}, 9)"
 
 
 @sql("ts_cov")
-def _ts_cov(x, y, n):
+def _ts_cov(x, y, n, least=None):
     x, y = both(x, y)
-    return full(x, n, f"covar_samp({x}, {y}) OVER {rows(n)}")
+    return full(x, n, f"covar_samp({x}, {y}) OVER {rows(n)}", least)
 
 
 @sql("ts_beta")
-def _ts_beta(y, x, n):
+def _ts_beta(y, x, n, least=None):
     y, x = both(y, x)
-    return full(x, n, f"CASE WHEN var_samp({x}) OVER {rows(n)} > 1e-12 THEN (covar_samp({y}, {x}) OVER {rows(n)}) / (var_samp({x}) OVER {rows(n)}) END")
+    return full(x, n, f"CASE WHEN var_samp({x}) OVER {rows(n)} > 1e-12 THEN (covar_samp({y}, {x}) OVER {rows(n)}) / (var_samp({x}) OVER {rows(n)}) END", least)
 
 
 @sql("ts_slope")
@@ -173,9 +180,33 @@ SQL["bfill"] = lambda x, limit=None: f"first_value({x} IGNORE NULLS) OVER {ahead
 
 
 @sql("ts_sharpe")
-def _ts_sharpe(x, n, periods=252):
+def _ts_sharpe(x, n, periods=252, rate=0.0, least=None):
     sd = f"stddev_pop({x}) OVER {rows(n)}"
-    return full(x, n, f"CASE WHEN {sd} > 1e-9 THEN (avg({x}) OVER {rows(n)}) / ({sd}) * {float(periods) ** 0.5!r} END")
+    return full(x, n, f"CASE WHEN {sd} > 1e-9 THEN (avg({x}) OVER {rows(n)} - {rate / periods!r}) / ({sd}) * {float(periods) ** 0.5!r} END", least)
+
+
+@sql("ts_sortino")
+def _ts_sortino(x, n, periods=252, rate=0.0, least=None):
+    e = f"({x} - {rate / periods!r})"
+    down = f"sqrt(avg(CASE WHEN {e} < 0 THEN {e} * {e} WHEN {e} IS NOT NULL THEN 0.0 END) OVER {rows(n)})"
+    return full(x, n, f"CASE WHEN {down} > 1e-9 THEN (avg({e}) OVER {rows(n)}) / {down} * {float(periods) ** 0.5!r} END", least)
+
+
+@sql("ts_max_drawdown")
+def _ts_max_drawdown(x, n, least=None):
+    held = f"list({x}) FILTER (WHERE {x} IS NOT NULL) OVER {rows(n)}"
+    falls = f"list_transform({held}, lambda v, i: v / nullif(list_max(list_slice({held}, 1, i)), 0) - 1)"
+    return full(x, n, f"list_min({falls})", least)
+
+
+@sql("ewm_std")
+def _ewm_std(x, weight):
+    held = f"list({x}) FILTER (WHERE {x} IS NOT NULL) OVER {rows(reach(weight))}"
+    n = f"len({held})"
+    w = f"list_transform(range({n}), lambda i: CASE WHEN i = 0 THEN pow({1 - weight!r}, {n} - 1) ELSE {weight!r} * pow({1 - weight!r}, {n} - 1 - i) END)"
+    mean = f"list_sum(list_transform({held}, lambda v, i: v * ({w})[i]))"
+    square = f"list_sum(list_transform({held}, lambda v, i: ({w})[i] * pow(v - {mean}, 2)))"
+    return f"(CASE WHEN {x} IS NOT NULL AND {n} > 1 THEN sqrt({square} / (1 - list_sum(list_transform({w}, lambda v: v * v)))) END)"
 
 
 SQL["drawdown"] = lambda x: f"({x} / nullif(max({x}) OVER {rows(None)}, 0) - 1)"
@@ -249,9 +280,22 @@ def _cs_corr(x, y):
 for _name, _agg in (("group_mean", "avg"), ("group_min", "min"), ("group_max", "max"), ("group_sum", "sum"), ("group_median", "median"), ("group_std", "stddev_pop")):
     SQL[_name] = lambda x, a=_agg: f"{a}({x}) OVER ({IN_GROUP})"
 SQL["group_count"] = lambda x: f"CAST(count({x}) OVER ({IN_GROUP}) AS DOUBLE)"
-SQL["group_demean"] = lambda x: f"({x} - avg({x}) OVER ({IN_GROUP}))"
+CLASSES = {"sector": "sector", "industry": "industry", "subindustry": "subindustry"}
+SQL["group_demean"] = lambda x, by=None: f"({x} - avg({x}) OVER (PARTITION BY date_, {CLASSES.get(by, 'industry')}))"
 SQL["group_zscore"] = lambda x: f"(CASE WHEN stddev_pop({x}) OVER ({IN_GROUP}) > 1e-9 THEN ({x} - avg({x}) OVER ({IN_GROUP})) / (stddev_pop({x}) OVER ({IN_GROUP})) END)"
 SQL["group_rank"] = lambda x: f"({_rank(x, IN_GROUP)} / count({x}) OVER ({IN_GROUP}))"
+@sql("group_weighted_mean")
+def _group_weighted_mean(x, y):
+    x, y = both(x, y)
+    return f"(sum({x} * {y}) OVER ({IN_GROUP}) / nullif(sum({y}) OVER ({IN_GROUP}), 0))"
+
+
+@sql("group_backfill")
+def _group_backfill(x, n, std=4.0):
+    mean, sd = f"avg({x}) OVER {rows(n)}", f"stddev_samp({x}) OVER {rows(n)}"
+    return f"coalesce(CASE WHEN {sd} IS NULL OR abs({x} - {mean}) <= {std!r} * ({sd}) THEN {x} END, first_value({x} IGNORE NULLS) OVER ({TIME} ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING))"
+
+
 SQL["group_fill"] = lambda x: f"coalesce({x}, median({x}) OVER ({IN_GROUP}))"
 
 

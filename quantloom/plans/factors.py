@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import alpha101, dsl, gtja191
 from quantloom.functions.dsl import call, col, parse
-from quantloom.functions.expr import Expr, lower
+from quantloom.functions.expr import Expr, Frame, lower
 from quantloom.functions.render import render
 from quantloom.plans import panels
 
-PANELS = {"daily": (panels.daily, panels.DAILY_SQL), "monthly": (panels.monthly, panels.MONTHLY_SQL)}
+PANELS = {"daily": (panels.daily, panels.DAILY_SQL), "monthly": (panels.monthly, panels.MONTHLY_SQL), "indexed": (panels.indexed, panels.INDEXED_SQL)}
 
 
 def shown(x):
@@ -29,7 +29,8 @@ def shown_sql(x: str) -> str:
 
 def plan(panel: str, factors: dict[str, Expr]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = lower(PANELS[panel][0](spark, sf_dir), factors)
+        frame = Frame() if panel == "monthly" else Frame(classes=panels.CLASSES)
+        out = lower(PANELS[panel][0](spark, sf_dir), factors, frame)
         return out.select("date_", "code", *(shown(F.col(n)).alias(n) for n in factors))
 
     return run
@@ -39,6 +40,9 @@ def text(panel: str, factors: dict[str, Expr]) -> str:
     return render(PANELS[panel][1], factors, wrap=shown_sql)
 
 
+#: Formulas whose values need days with more than one trade, which the monthly panel has.
+SPREAD_101, SPREAD_191 = (66,), (60, 87)
+
 close, open_, high, low, volume, ret, vwap = (col(c) for c in ("close", "open", "high", "low", "volume", "ret", "vwap"))
 #: A column with missing cells.
 holes = call("where", close, close > open_)
@@ -73,14 +77,27 @@ SHAPES: dict[str, tuple[str, dict[str, Expr]]] = {
     "group_aggregates": ("monthly", {n: call(f"group_{n}", close) for n in ("mean", "min", "max", "sum", "median", "std", "count")}),
     "group_standard": ("monthly", {"demeaned": call("group_demean", close), "z": call("group_zscore", close), "rank": call("group_rank", close), "filled": call("group_fill", holes)}),
     "neutralize_industry_size": ("monthly", {"neutral": dsl.neutralize_size(close, call("log", col("cap")))}),
+    "ts_least": ("daily", {"std": call("ts_std", holes, 10, 1, 3), "var": call("ts_var", holes, 10, 0, 3), "skew": call("ts_skew", holes, 10, 4), "kurt": call("ts_kurt", holes, 10, 5), "z": call("rolling_zscore", holes, 10, least=3), "rank": call("ts_rank", holes, 10, 3), "corr": call("ts_corr", holes, volume, 10, 4), "cov": call("ts_cov", holes, volume, 10, 4), "beta": call("ts_beta", holes, volume, 10, 4), "half": call("ts_quantile", holes, 10, 0.5, 2), "sharpe": call("ts_sharpe", ret, 20, least=5)}),
+    "ts_returns": ("daily", {"change": call("ts_change", holes, 2), "momentum": call("ts_momentum", close, 20, 5), "plain": call("ts_returns", close, 3), "logged": call("ts_returns", close, 3, 0), "grown": call("cumulative_return", call("clip", call("fillna", ret, 0.0), -0.01, 0.01)), "apart": call("ts_av_diff", close, 10), "scaled": call("ts_scale", ret, 10), "expanding": call("expanding_zscore", close)}),
+    "ts_risk": ("daily", {"volatility": call("rolling_volatility", ret, 20, 252), "sortino": call("rolling_sortino", ret, 20), "sharpe": call("rolling_sharpe", ret, 20, rate=0.02), "ir": call("ts_ir", ret, 20), "fall": call("rolling_max_drawdown", close, 10), "beta": call("rolling_beta", ret, call("cs_mean", ret), 20)}),
+    "ts_clipped": ("daily", {"whole": call("ts_winsorize", close, 0.05, 0.95), "rolling": call("ts_winsorize", close, 0.1, 0.9, 20), "mad": call("ts_winsorize_mad", close, 20, 1.0)}),
+    "ts_recursive_deviation": ("daily", {"wide": call("ewm_std", close, alpha=0.5), "holes": call("ewm_std", holes, alpha=0.6), "mean": call("decay_exponential", close, 2.0)}),
+    "ts_conditional": ("daily", {"added": call("sumif", volume, close > open_, 10), "counted": call("count", close > open_, 10), "high": call("highday", close, 10), "low": call("lowday", close, 10), "loose": call("combo", holes, 10), "product": call("cumprod", call("clip", call("fillna", ret, 0.0), -0.01, 0.01) + 1.0), "back": call("lead", close, 2), "ema": call("ts_ema", close, 5)}),
+    "cs_dispatch": ("monthly", {"mad": call("winsorize_cross_section", close, "mad", n_mad=1.0), "quantile": call("winsorize_cross_section", close, "quantile", 0.1, 0.9), **{f"as_{m}": call("normalize_cross_section", close, m) for m in ("zscore", "robust_zscore", "rank", "rank_centered", "minmax", "l1", "l2", "demean")}, "bound": call("normalize_cross_section", close, "zscore", clip=1.0)}),
+    "cs_neutral": ("monthly", {**{f"by_{m}": call("neutralize_cross_section", close, m) for m in ("group_zscore", "group_demean", "regression", "group_regression")}, "line": call("neutralize_cross_section", close, "regression", volume), "both": call("industry_size_regression_residual", close, col("cap")), "clipped": call("neutralize_industry_size", close, call("log", col("cap"))), "chain": call("preprocess_cross_section", close, "mad", "group_demean", "zscore")}),
+    "cs_scaled": ("monthly", {"pos": call("cs_minmax_pos", close), "neg": call("cs_minmax_neg", close), "masked": call("col_minmax_pos", close, close > open_), "masked_neg": call("col_minmax_neg", close, close > open_), "skew": call("cs_skew", close), "standard": call("cs_standardize", close), "down": call("rank_desc", close), "bucket": call("bucketize_quantiles", close, 4), "best": call("top_n", close, 3), "worst": call("bottom_n", close, 3), "quantile": call("cs_quantile_value", close, 0.3)}),
+    "group_more": ("monthly", {"weighted": call("group_weighted_mean", close, volume), "back": call("group_backfill", holes, 5, 1.5)}),
+    "class_neutral": ("daily", {c: Expr("group_demean", (close,), by=c) for c in ("sector", "industry", "subindustry")}),
     "ts_recursive": ("daily", {"ewm": dsl.ewm(close, span=10), "of_holes": dsl.ewm(holes, alpha=0.3), "half": dsl.ewm(close, halflife=5)}),
     "formula_parsed": ("daily", {"factor": parse("(close > open) ? rank(delta(close, 1) / delay(close, 1)) : -1 * ts_rank(volume, 5)")}),
 }
 
 
 def alpha_queries() -> dict[str, tuple[str, dict[str, Expr]]]:
-    out = {f"alpha101_{n:03d}": ("daily", {f"alpha_{n}": alpha101.alpha(n)}) for n in alpha101.FORMULAS}
-    own = [n for n in gtja191.FORMULAS if n not in gtja191.NEED_INDEX]
+    out = {f"alpha101_{n:03d}": ("monthly" if n in SPREAD_101 else "daily", {f"alpha_{n}": alpha101.alpha(n)}) for n in alpha101.FORMULAS}
+    out["gtja191_spread"] = ("monthly", {f"alpha_{n}": gtja191.alpha(n) for n in SPREAD_191})
+    out["gtja191_index"] = ("indexed", {f"alpha_{n}": gtja191.alpha(n) for n in gtja191.NEED_INDEX})
+    own = [n for n in gtja191.FORMULAS if n not in gtja191.NEED_INDEX and n not in SPREAD_191]
     # several formulas a query: what they share is planned once
     for at in range(0, len(own), 6):
         some = own[at : at + 6]

@@ -38,18 +38,38 @@ def _bars(df: DataFrame) -> DataFrame:
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1: bars per order priority and day."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("code"), F.to_date("o_orderdate").alias("date_"), "o_totalprice", "o_orderkey")
-    bars = _bars(orders).withColumn("industry", F.when(F.col("code") < "3", "fast").otherwise("slow"))
+    bars = _bars(orders).withColumns(
+        {
+            "industry": F.when(F.col("code") < "3", "fast").otherwise("slow"),
+            "sector": F.when(F.col("code") < "4", "first").otherwise("rest"),
+            "subindustry": F.when(F.col("code") < "2", "urgent").when(F.col("code") < "4", "usual").otherwise("late"),
+        }
+    )
     return market_columns(bars)
 
 
+#: Column of each class of codes in :func:`daily`.
+CLASSES = (("sector", "sector"), ("industry", "industry"), ("subindustry", "subindustry"))
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 with the mean open and close of each day as a benchmark."""
+    from pyspark.sql import Window
+
+    day = Window.partitionBy("date_")
+    return daily(spark, sf_dir).select("*", F.avg("open").over(day).alias("index_open"), F.avg("close").over(day).alias("index_close"))
+
+
 DAILY_SQL = """
     SELECT *, (open + high + low + close) / 4 AS vwap, close / nullif(lag(close) OVER (PARTITION BY code ORDER BY date_), 0) - 1 AS ret, close * volume AS cap
     FROM (SELECT o_orderpriority AS code, CAST(o_orderdate AS DATE) AS date_,
                  min_by(CAST(o_totalprice AS DOUBLE), o_orderkey) AS open, max(CAST(o_totalprice AS DOUBLE)) AS high, min(CAST(o_totalprice AS DOUBLE)) AS low,
                  max_by(CAST(o_totalprice AS DOUBLE), o_orderkey) AS close, CAST(sum(o_orderkey % 1000) + count(*) AS DOUBLE) AS volume,
-                 CASE WHEN o_orderpriority < '3' THEN 'fast' ELSE 'slow' END AS industry
+                 CASE WHEN o_orderpriority < '3' THEN 'fast' ELSE 'slow' END AS industry, CASE WHEN o_orderpriority < '4' THEN 'first' ELSE 'rest' END AS sector,
+                 CASE WHEN o_orderpriority < '2' THEN 'urgent' WHEN o_orderpriority < '4' THEN 'usual' ELSE 'late' END AS subindustry
           FROM orders GROUP BY o_orderpriority, CAST(o_orderdate AS DATE))
 """
+INDEXED_SQL = f"SELECT *, avg(open) OVER (PARTITION BY date_) AS index_open, avg(close) OVER (PARTITION BY date_) AS index_close FROM ({DAILY_SQL})"
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
