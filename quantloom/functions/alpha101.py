@@ -1,6 +1,6 @@
 """The 101 formulaic alphas, as printed in the literature (arXiv:1601.00991), in plain text.
 
-Fixed values. Window lengths that aren't whole are cut; ``indneutralize`` takes
+Fixed values. Window lengths that aren't whole are rounded; ``indneutralize`` takes
 the column of the class named (sector, industry, subindustry), or the panel's group
 where it has no such column. Formulas that test one rank against another give 0 or 1.
 A formula that chooses between values has none where what it tests is missing.

@@ -478,9 +478,9 @@ class _Parser:
 
 
 def function(name: str, args: list) -> Expr:
-    """A function of a formula; window lengths are cut to whole numbers."""
+    """A function of a formula; window lengths are rounded to whole numbers, 1 at least."""
     if name in ("min", "max") and len(args) == 2 and isinstance(args[1], float):
-        return call(f"ts_{name}", args[0], int(args[1]))
+        return call(f"ts_{name}", args[0], _window(args[1]))
     if name == "indneutralize":
         return Expr("group_demean", (args[0],), by=dict(args[1].params)["name"].rpartition(".")[2].lower())
     if name in ("scale",):
@@ -491,7 +491,11 @@ def function(name: str, args: list) -> Expr:
         return call(name, *args)
     if name in ("signedpower",):
         return Expr("signed_power", (args[0], args[1]))
-    return call(name, *(int(a) if isinstance(a, float) and k else a for k, a in enumerate(args)))
+    return call(name, *(_window(a) if isinstance(a, float) and k else a for k, a in enumerate(args)))
+
+
+def _window(length: float) -> int:
+    return max(round(length), 1)
 
 
 def parse(text: str) -> Expr:
