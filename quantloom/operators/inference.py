@@ -21,6 +21,12 @@ def normal_p(t):
     return poly * F.exp(-x * x)
 
 
+def normal_cdf(z):
+    """Share of a standard normal distribution below z, by the same approximation."""
+    half = normal_p(z) / 2
+    return F.when(z >= 0, 1 - half).otherwise(half)
+
+
 def corrections(tests: DataFrame, p: str = "p") -> DataFrame:
     """Bonferroni, Holm and Benjamini-Hochberg values of p; one row per test, which are few."""
     n = F.count(p).over(Window.partitionBy())

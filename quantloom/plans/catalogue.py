@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.plans import factors, research
+from quantloom.plans import factors, research, returns, scoring  # noqa: F401  the modules register their queries
 
 FLAGSHIP = "factor_momentum_rank"
 
