@@ -5,28 +5,41 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step works on; bounds the size of its arrays.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; sets one only where it is unset."""
+def _root(spark: SparkSession) -> str:
+    """The application's folder below ``spark.checkpoint.dir``; a temporary one only in local mode, where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors of a cluster need a folder that all of them share")
         root = "file://" + tempfile.mkdtemp(prefix="quantloom-checkpoint-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/quantloom/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/quantloom/{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh folder that all executors share."""
+    return f"{_root(spark)}/{uuid.uuid4().hex}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that this application stored; for when no result of it is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -75,24 +88,8 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
 
 
 _ODD = 0x9E3779B97F4A7C15
-
-
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64, and of its inverse."""
-
-    def run(x: int) -> np.ndarray:
-        out = np.full(n, x, np.uint64)
-        out[0] = 1
-        return np.cumprod(out, dtype=np.uint64)
-
-    return run(_ODD), run(pow(_ODD, -1, 1 << 64))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    a, b = _powers(size)
-    return a[:n], b[:n]
+#: Key of the hashes of spans, and the bytes up to which they are made of 8-byte lanes in numpy.
+_KEY, _LANES = 0x27D4EB2F165667C5, 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -106,13 +103,30 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes, the same wherever the span stands."""
+    """Keyed 64-bit hash of each span of bytes, the same wherever the span stands.
+
+    Short spans are mixed lane by lane of 8 bytes, all at once; long ones go through xxhash.
+    """
+    size = (ends - starts).astype(np.int64)
+    out = mix(size.astype(np.uint64) + np.uint64(_KEY))
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= _LANES))
+    at = 0
+    while len(live):
+        lane = lanes[starts[live] + at]
+        short = np.maximum(8 - (size[live] - at), 0).astype(np.uint64) * np.uint64(8)
+        lane = (lane << short) >> short
+        out[live] = mix((out[live] ^ lane) * np.uint64(_ODD) + np.uint64(at + 1))
+        at += 8
+        live = live[size[live] > at]
+    long = np.flatnonzero(size > _LANES)
+    if len(long):
+        raw = memoryview(data)
+        out[long] = [xxhash.xxh3_64_intdigest(raw[a:b], _KEY) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
 
 
 def runs(data: np.ndarray, offs: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,8 +177,8 @@ def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarr
     padded = np.concatenate([hashes, np.zeros(size, np.uint64)])
     for i in range(size):
         step = padded[at + i]
-        out = out * np.uint64(_ODD) + (step if i == 0 else np.where(left > i, step, np.uint64(0)))
-    return mix(out), ptr
+        out = mix(out * np.uint64(_ODD) + np.uint64(i + 1) + step) if i == 0 else np.where(left > i, mix(out * np.uint64(_ODD) + np.uint64(i + 1) + step), out)
+    return out, ptr
 
 
 def joined(parts: list[np.ndarray], kind) -> np.ndarray:

@@ -17,8 +17,8 @@ passage that stands once in the earlier document and twice in the later goes onc
 Lines are compared without white space at their ends. Later means a larger doc_id; rows
 without one come last, rows with equal ids go by the digest of their texts. Defined
 results: a null text stays null and an empty one empty; rows that are equal in doc_id and text are the same
-document, each kept as it is; an exact copy loses all lines and keeps its row; other columns are kept; an empty table
-gives an empty result.
+document, each kept as it is; an exact copy loses all lines and keeps its row; a very long text is
+aligned whole; other columns are kept, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import DARK, byte_set, mix, pieces, powers, runs, span_hashes, stored, text_bytes, unused
+from quantloom.llm.common import DARK, byte_set, mix, pieces, runs, span_hashes, stored, text_bytes, unused
 
 #: Words in the smallest block that is deleted.
 MIN_WORDS = 10
+#: Lines that are looked up in a broadcast table, and first holders that are dealt over salts, at most; rows that make one of these, at least.
+HOT_LINES, HOT_FIRSTS, HOT_ROWS, SALTS = 2000, 2000, 1000, 64
 
 _LINE = ~byte_set((10, 10))
 
@@ -65,19 +67,25 @@ def runs_of(hashes: np.ndarray, words: np.ndarray, first: np.ndarray, min_words:
 
     A line with enough words is a run of its own, and has its own hash.
     """
-    n = len(words)
-    sums = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    some = np.flatnonzero(words > 0)
-    ends = np.searchsorted(sums, sums[some] + min_words)
-    begins = np.searchsorted(sums, sums[some + 1] - min_words, "right") - 1
-    low, high = ends <= first[text[some] + 1], begins >= first[text[some]]
-    spans = np.unique(np.concatenate([some[low] * (n + 1) + ends[low], begins[high] * (n + 1) + some[high] + 1]))
+    some = np.flatnonzero(words > 0)  # all lines that count, each with the number of blank ones before it
+    start = np.searchsorted(some, first)
+    n = len(some)
+    gaps = np.diff(some, prepend=-1)
+    sums = np.concatenate([[0], np.cumsum(words[some], dtype=np.int64)])
+    text = np.repeat(np.arange(len(first) - 1), np.diff(start))
+    at = np.arange(n)
+    ends = np.searchsorted(sums, sums[at] + min_words)
+    begins = np.searchsorted(sums, sums[at + 1] - min_words, "right") - 1
+    low, high = ends <= start[text + 1], begins >= start[text]
+    spans = np.unique(np.concatenate([at[low] * (n + 1) + ends[low], begins[high] * (n + 1) + at[high] + 1]))
     a, b = spans // (n + 1), spans % (n + 1)
     a, b = a[b - a > 1], b[b - a > 1]
-    up, down = powers(n + 1)
-    marks = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:-1], dtype=np.uint64)])
-    return mix((marks[b] - marks[a]) * down[a] + (b - a).astype(np.uint64)), np.searchsorted(a, first)
+    out = mix((b - a).astype(np.uint64))
+    for k in range(int((b - a).max()) if len(a) else 0):  # a run has at most min_words such lines
+        live = np.flatnonzero(b - a > k)
+        step = hashes[some[a[live] + k]] + mix(gaps[a[live] + k].astype(np.uint64) * np.uint64(k > 0))
+        out[live] = mix((out[live] ^ step) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1))
+    return out, np.searchsorted(a, start)
 
 
 def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -259,15 +267,40 @@ def _digest():
     return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
 
 
+def _hot(counts: DataFrame, total: int, hot: int) -> DataFrame:
+    """The rows whose ``n`` is more than a share of 1 / ``hot`` of the total, and more than a thousand: at most ``hot`` of them."""
+    return counts.where(F.col("n") > max(HOT_ROWS, total // hot))
+
+
+def _candidates(held: DataFrame) -> DataFrame:
+    """(k, first): every document with the first holder of each of its repeated lines and runs.
+
+    The few hottest lines, whose number has a bound, are looked up from a broadcast table and not shuffled.
+    """
+    shared = stored(held.groupBy("line").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("n")).where("first <> last").select("line", "first", "n"))
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(_hot(shared, total, HOT_LINES).select("line", F.col("first").alias("hot_first")))
+    marked = held.join(hot, "line", "left")
+    cold = marked.where("hot_first is null").join(shared.select("line", "first"), "line").select("k", "first")
+    pairs = marked.where("hot_first is not null").select("k", F.col("hot_first").alias("first")).unionByName(cold)
+    return pairs.where("k <> first").groupBy("k", "first").agg(F.lit(1).alias("one")).drop("one")
+
+
 def deletions(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, found, partners): lines to delete of documents that have some; h is the digest of the text."""
+    """(doc_id, h, found, partners): lines to delete of documents that have some; h is the digest of the text.
+
+    A first holder of many partners is dealt over SALTS copies of its lines, each with a part of the partners.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     listed = stored(rows.mapInArrow(_lines, "doc_id long, h binary, lines array<long>, words array<int>, runs array<long>"))
     held = listed.select(_key().alias("k"), F.explode(F.array_distinct(F.concat("lines", "runs"))).alias("line")).where("line <> 0")
-    shared = held.groupBy("line").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first <> last").select("line", "first")
-    pairs = held.join(shared, "line").where("k <> first").groupBy("k", "first").agg(F.lit(1).alias("one")).drop("one")
+    pairs = stored(_candidates(held))
     own = listed.groupBy("doc_id", "h").agg(F.first("lines").alias("lines"), F.first("words").alias("words")).withColumn("k", _key())
-    full = pairs.join(own, "k").join(own.select(F.col("k").alias("first"), F.col("lines").alias("first_lines"), F.col("doc_id").alias("first_id")), "first")
+    hot = F.broadcast(_hot(pairs.groupBy("first").agg(F.count("*").alias("n")), pairs.count(), HOT_FIRSTS).select("first", F.lit(SALTS).alias("salts")))
+    dealt = pairs.join(hot, "first", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("k"), F.col("salts"))).cast("int"))
+    partner = own.select(F.col("k").alias("first"), F.col("lines").alias("first_lines"), F.col("doc_id").alias("first_id")).join(hot, "first", "left")
+    partner = partner.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    full = dealt.drop("salts").join(own, "k").join(partner, ["first", "salt"])
     found = full.select("doc_id", "h", "first_id", "lines", "words", "first_lines").mapInArrow(_aligned, "doc_id long, h binary, first_id long, found array<int>")
     found = found.where(F.size("found") > 0)
     return found.groupBy("doc_id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"), F.array_sort(F.collect_set("first_id")).alias("partners"))  # at most one list per line of the document

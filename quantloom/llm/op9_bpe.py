@@ -12,14 +12,15 @@ one entry per byte of that window, however long a run of letters is.
 
 Cutting into pretokens. Letters, digits, other marks and white space are told
 apart by a table over code points, and the borders found for a whole chunk of
-texts at once. Encodings of pretokens are kept in a bounded memo.
+texts at once. Every pretoken, long or short, goes through the transducer once; the ids of short
+ones are kept in a memo that is keyed by their bytes and bounded in entries and bytes.
 
-Decoding. Token bytes run through an incremental UTF-8 state machine, which
-replaces maximal invalid parts by U+FFFD.
+Decoding. Ids are fed to an incremental UTF-8 state machine in windows of a fixed
+size; it replaces maximal invalid parts by U+FFFD.
 
 Defined results: a null or empty text has no tokens, and the empty string's
-digests; repeated rows give repeated rows; an empty table gives an empty result;
-other columns, whatever their names, are not read.
+digests; repeated rows give repeated rows; a very long text is encoded whole, its window as small as any
+other's; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -35,12 +36,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quantloom.llm.common import joined, pieces, span_hashes, spread, text_bytes
+from quantloom.llm.common import joined, pieces, spread, text_bytes
 
-#: Pretokens whose encodings a worker keeps; beyond it the memo starts anew.
-MEMO = 400_000
-#: A pretoken of more bytes goes through the streaming transducer.
-SHORT = 64
+#: Pretokens in each of the memo's two generations, and their most bytes; what a full generation doesn't use goes with the next.
+MEMO, MEMO_BYTES = 120_000, 256
+#: Pairs of tokens whose stability a worker remembers.
+PAIRS = 500_000
+#: Ids that are decoded at a time.
+DECODED = 1 << 16
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -69,10 +72,22 @@ class Merges:
         self._left: dict[int, list[tuple[int, float]]] = {}
         self._stable: dict[int, bool] = {}
         self._n = max(self.bytes_of) + 1
+        self._pieces: Pieces | None = None
         #: Tokens that the merges really make from their own bytes.
         self.token = {b: i for b, i in vocab.items() if len(b) == 1 or (i in made and self._whole(b, i))}
         self.longest = max(map(len, self.token))
         self.lookahead = self._lookahead()
+        #: Lengths of the tokens that may end with these last three bytes, longest first.
+        tails: dict[bytes, set[int]] = {}
+        for t in self.token:
+            if len(t) > 2:
+                tails.setdefault(t[-3:], {1}).add(len(t))
+        self.tails = {k: tuple(sorted(v | ({2} if k[1:] in self.token else set()), reverse=True)) for k, v in tails.items()}
+
+    def pieces(self) -> Pieces:
+        if self._pieces is None:
+            self._pieces = Pieces([self.bytes_of.get(i, b"") for i in range(self._n)])
+        return self._pieces
 
     def _spine(self, token: int, side: int, memo: dict) -> list[tuple[int, float]]:
         known = memo.get(token)
@@ -89,7 +104,7 @@ class Merges:
         key = a * self._n + b
         known = self._stable.get(key)
         if known is None:
-            if len(self._stable) > 2_000_000:
+            if len(self._stable) > PAIRS:
                 self._stable.clear()
             known = self._stable[key] = self._beside(a, b)
         return known
@@ -144,56 +159,48 @@ class Merges:
             most = max(most, chain)
         return most + self.longest
 
-    def run(self, text: bytes) -> list[int]:
-        """Tokens of one pretoken that fits in the window."""
-        whole = self.token.get(text)
-        if whole is not None:
-            return [whole]
-        n, token, stable, memo, wide = len(text), self.token, self.stable, self._stable, self._n
-        last = [0] * n
-        longest = self.longest
-        for i in range(1, n + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                t = token.get(text[j:i])
-                if t is not None:
-                    if j == 0:
-                        break
-                    before = last[j - 1]
-                    ok = memo.get(before * wide + t)
-                    if stable(before, t) if ok is None else ok:
-                        break
-            last[i - 1] = t
-        out = []
-        while n:
-            t = last[n - 1]
-            out.append(t)
-            n -= len(self.bytes_of[t])
-        return out[::-1]
-
 
 class Transducer:
     """Encodes one pretoken fed in parts; ``feed`` and ``finish`` return tokens that are final."""
 
     def __init__(self, merges: Merges):
         self.m = merges
-        self.text = bytearray()
+        self.text = b""
         self.last: list[int] = []
         self.before: int | None = None
 
-    def feed(self, part: bytes) -> Iterator[int]:
-        m = self.m
-        for byte in part:
-            self.text.append(byte)
-            i = len(self.text)
-            for j in range(max(0, i - m.longest), i):
-                t = m.token.get(bytes(self.text[j:i]))
-                if t is not None:
-                    before = self.last[j - 1] if j else self.before
-                    if before is None or m.stable(before, t):
-                        break
-            self.last.append(t)
-            if i >= 2 * m.lookahead:
-                yield from self._emit(m.lookahead)
+    def feed(self, part: bytes) -> list[int]:
+        """Tokens that no further byte can change; holds at most twice the lookahead and one token."""
+        wide, out = self.m.lookahead, []
+        if len(self.text) + len(part) < wide:
+            self._step(part)
+            return out
+        for at in range(0, len(part), wide):
+            self._step(part[at : at + wide])
+            if len(self.text) >= 2 * wide:
+                out += self._emit(wide)
+        return out
+
+    def _step(self, part: bytes) -> None:
+        """Find the last token of every prefix that ends in ``part``."""
+        m, last, before = self.m, self.last, self.before
+        text = self.text = self.text + part
+        token, tails, stable, known, n = m.token, m.tails, m.stable, m._stable, m._n
+        for i in range(len(last) + 1, len(text) + 1):
+            for size in tails.get(text[i - 3 : i], (2, 1)) if i > 2 else (2, 1):
+                j = i - size
+                if j < 0:
+                    continue
+                t = token.get(text[j:i])
+                if t is None:
+                    continue
+                left = last[j - 1] if j else before
+                if left is None:
+                    break
+                ok = known.get(left * n + t)
+                if stable(left, t) if ok is None else ok:
+                    break
+            last.append(t)
 
     def _chain(self, n: int) -> list[tuple[int, int]]:
         out = []
@@ -203,42 +210,66 @@ class Transducer:
             n -= len(self.m.bytes_of[t])
         return out[::-1]
 
-    def _emit(self, keep: int) -> Iterator[int]:
+    def _emit(self, keep: int) -> list[int]:
         """Emit what ends before the last ``keep`` bytes and lies on every live chain."""
         n = len(self.text)
         common: set[tuple[int, int]] | None = None
         for end in range(max(1, n - self.m.longest + 1), n + 1):
             chain = set(self._chain(end))
             common = chain if common is None else common & chain
-        done = 0
+        done, out = 0, []
         for end, t in self._chain(n):
             if end > n - keep or (end, t) not in (common or ()):
                 break
-            yield t
+            out.append(t)
             done, self.before = end, t
-        del self.text[:done]
+        self.text = self.text[done:]
         del self.last[:done]
+        return out
+
+    def finish(self) -> list[int]:
+        out, n, bytes_of, last = [], len(self.text), self.m.bytes_of, self.last
+        while n > 0:
+            t = last[n - 1]
+            out.append(t)
+            n -= len(bytes_of[t])
+        self.text, self.last, self.before = b"", [], None
+        return out[::-1]
 
-    def finish(self) -> Iterator[int]:
-        for _, t in self._chain(len(self.text)):
-            yield t
-        self.text.clear()
-        self.last.clear()
-        self.before = None
+
+class Pieces:
+    """The bytes of every id end to end, for gathering those of many ids at once."""
+
+    def __init__(self, items: list[bytes]):
+        self.ptr = np.zeros(len(items) + 1, np.int64)
+        np.cumsum([len(x) for x in items], out=self.ptr[1:])
+        self.data = np.frombuffer(b"".join(items), np.uint8)
+
+    def of(self, ids: np.ndarray) -> bytes:
+        return self.data[spread(self.ptr, ids)[0]].tobytes()
 
 
 class Decoder:
     """Incremental bytes-to-text state machine over token ids."""
 
     def __init__(self, merges: Merges):
-        self._bytes = merges.bytes_of
+        self._pieces = merges.pieces()
         self._state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        return self._state.decode(b"".join(map(self._bytes.__getitem__, ids)))
+        return self._state.decode(self._pieces.of(np.asarray(ids, np.int64)))
 
     def finish(self) -> str:
-        return self._state.decode(b"", True)
+        """The end of the text; the machine is ready for another one."""
+        out = self._state.decode(b"", True)
+        self._state.reset()
+        return out
+
+    def texts(self, ids: np.ndarray) -> Iterator[str]:
+        """The text of all ids in parts of bounded size."""
+        for at in range(0, len(ids), DECODED):
+            yield self.feed(ids[at : at + DECODED])
+        yield self.finish()
 
 
 @lru_cache(maxsize=2)
@@ -326,37 +357,15 @@ class Encoder:
 
     def __init__(self, merges: Merges, memo: int = MEMO):
         self.m, self.limit = merges, memo
-        n = max(merges.bytes_of) + 1
-        self.token_bytes, self.token_ptr = self._ragged([merges.bytes_of.get(i, b"") for i in range(n)])
-        self.id_text, self.id_ptr = self._ragged([f"{i},".encode() for i in range(n)])
+        self.machine = Transducer(merges)
+        self.numbers = Pieces([f"{i},".encode() for i in range(max(merges.bytes_of) + 1)])
         self.special = regex.compile("|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
-        self._forget()
-
-    @staticmethod
-    def _ragged(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ptr = np.zeros(len(items) + 1, np.int64)
-        np.cumsum([len(x) for x in items], out=ptr[1:])
-        return np.frombuffer(b"".join(items), np.uint8), ptr
-
-    def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.ids, self.ptr = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _keep(self, known: int, ids: list[int], ends: list[int]) -> None:
-        base = int(self.ptr[known])
-        while len(self.ids) < base + len(ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.ptr) <= known + len(ends):
-            self.ptr = np.concatenate([self.ptr, np.zeros_like(self.ptr)])
-        self.ids[base : base + len(ids)] = ids
-        self.ptr[known + 1 : known + 1 + len(ends)] = np.array(ends, np.int64) + base
+        self.memo: dict[bytes, tuple[int, ...]] = {}
+        self.older: dict[bytes, tuple[int, ...]] = {}
 
     def pretoken(self, text: bytes) -> list[int]:
-        if len(text) <= SHORT:
-            return self.m.run(text)
-        machine = Transducer(self.m)
-        out = list(machine.feed(text))
-        out.extend(machine.finish())
+        out = self.machine.feed(text)
+        out += self.machine.finish()
         return out
 
     def chunk(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -385,26 +394,27 @@ class Encoder:
         begins, first = pretokens(data, offs)
         if not len(begins):
             return np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-        ends = np.append(begins[1:], len(data))
-        hashes, where, back = np.unique(span_hashes(data, begins, ends), return_index=True, return_inverse=True)
-        if len(self.slot) + len(hashes) > self.limit:
-            self._forget()
-        raw, slots = data.tobytes(), np.empty(len(hashes), np.int64)
-        fresh_ids: list[int] = []
-        fresh_ends: list[int] = []
-        known = len(self.slot)
-        for k, h in enumerate(hashes.tolist()):
-            s = self.slot.get(h)
-            if s is None:
-                s = self.slot[h] = known + len(fresh_ends)
-                fresh_ids += self.pretoken(raw[begins[where[k]] : ends[where[k]]])
-                fresh_ends.append(len(fresh_ids))
-            slots[k] = s
-        self._keep(known, fresh_ids, fresh_ends)
-        at, bounds = spread(self.ptr, slots)
-        local = self.ids[at]  # ids of this chunk's distinct pretokens
-        at, bounds = spread(bounds, back)
-        return local[at], bounds[first]
+        raw, memo, older = data.tobytes(), self.memo, self.older
+        edges = begins.tolist()
+        ids: list[int] = []
+        counts: list[int] = []
+        for a, b in zip(edges, [*edges[1:], len(raw)], strict=True):
+            text = raw[a:b]
+            known = memo.get(text)
+            if known is None:
+                known = older.get(text)
+                if known is None:
+                    known = tuple(self.pretoken(text))
+                if b - a <= MEMO_BYTES:
+                    if len(memo) >= self.limit:
+                        older, memo = memo, {}
+                        self.older, self.memo = older, memo
+                    memo[text] = known
+            ids += known
+            counts.append(len(known))
+        bounds = np.zeros(len(counts) + 1, np.int64)
+        np.cumsum(counts, out=bounds[1:])
+        return np.array(ids, np.int64), bounds[first]
 
 
 @lru_cache(maxsize=2)
@@ -424,18 +434,15 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def digests(batch: pa.RecordBatch, encoder: Encoder) -> pa.RecordBatch:
     """Counts and digests of the token ids and of the decoded texts of one piece of a batch."""
-    data, offs = text_bytes(batch.column("text"))
-    ids, first = encoder.chunk(data, offs)
-    at, bounds = spread(encoder.id_ptr, ids)
-    numbers, ends = encoder.id_text[at].tobytes(), bounds[first].tolist()
-    at, bounds = spread(encoder.token_ptr, ids)
-    raw, marks = encoder.token_bytes[at].tobytes(), bounds[first].tolist()
-    listed, decoded = [], []
-    state = codecs.getincrementaldecoder("utf-8")("replace")
-    for k in range(batch.num_rows):
-        listed.append(hashlib.sha256(numbers[ends[k] : max(ends[k], ends[k + 1] - 1)]).hexdigest())
-        state.reset()
-        decoded.append(hashlib.sha256(state.decode(raw[marks[k] : marks[k + 1]], True).encode()).hexdigest())
+    ids, first = encoder.chunk(*text_bytes(batch.column("text")))
+    listed, decoded, decoder = [], [], Decoder(encoder.m)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        own = ids[a:b]
+        listed.append(hashlib.sha256(encoder.numbers.of(own)[:-1]).hexdigest())
+        digest = hashlib.sha256()
+        for part in decoder.texts(own):
+            digest.update(part.encode())
+        decoded.append(digest.hexdigest())
     return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
@@ -469,13 +476,9 @@ def decode(tokens: DataFrame, tokenizer: str, *, key: str = "doc_id", ids: str =
     """Texts of arrays of token ids (null: empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = None
+        machine = Decoder(load(tokenizer))
         for batch in batches:
-            merges = merges or load(tokenizer)
-            out = []
-            for row in batch.column("ids"):
-                machine = Decoder(merges)
-                out.append(machine.feed(row.as_py() or ()) + machine.finish())
+            out = ["".join(machine.texts(np.array(row.as_py() or (), np.int64))) for row in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out, pa.string())], ["doc_id", "text"])
 
     return tokens.select(tokens[key].cast("long").alias("doc_id"), tokens[ids].alias("ids")).mapInArrow(run, "doc_id long, text string")
