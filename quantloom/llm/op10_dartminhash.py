@@ -7,14 +7,15 @@ suffices for about ``t ln t`` darts in all; each dart hits one of ``t`` coordina
 and the earliest dart on a coordinate is its value. Two documents agree on a
 coordinate with the probability of their weighted Jaccard likeness. The work is
 ``t log t`` per document, plus one step per element. The plane is cut by weight into
-regions [2**v - 1, 2**(v+1) - 1) with a Poisson process each.
+regions [2**v - 1, 2**(v+1) - 1) with a Poisson process each. The elements are a document's
+shingles and their weights the times that it has them.
 
 Join. Coordinates make up bands of R; documents with an equal band share a bucket.
 With 24 bands of 4, a pair of likeness 0.8 shares none with a probability of 4e-6.
 
 Links. Texts that are equal are one class from the start. In every bucket the earliest
-text is checked against all others, by the exact Jaccard likeness of their shingle
-sets: one pair per member, however large the bucket. Buckets that hold several components
+text is checked against all others, by the exact weighted Jaccard likeness of their shingle
+counts (the n-th time of a shingle is an element of its own): one pair per member, however large the bucket. Buckets that hold several components
 then may hold links between others than the earliest. Their texts go through a join on the
 rare ends of their shingle sets, which finds all pairs of the likeness and rules most
 others out without making them; only pairs of different components are made and checked.
@@ -22,8 +23,8 @@ others out without making them; only pairs of different components are made and
 Shingles: five words (ASCII letters and digits in lower case, and all beyond ASCII); a text of fewer words
 has one shingle of all. Defined results: null or empty texts, and texts without words, each are in a
 class of their own text; a class is named by its smallest doc_id (null only if no member
-has one); repeated rows are in one class; an empty table gives an empty result; other
-columns are not read.
+has one); repeated rows are in one class; a very long text is worked on whole, at memory in proportion
+to it; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -135,13 +136,36 @@ def word_shingles(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.
     return shingles(span_hashes(LOWER[data], starts, ends), first, words)
 
 
+def counted(hashes: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes of each set, the times that each has, and per set the first."""
+    if not len(hashes):
+        return hashes, np.zeros(0, np.int64), ptr
+    doc = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+    order = np.lexsort((hashes, doc))
+    h, doc = hashes[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    return h[at], np.diff(np.append(at, len(h))), np.searchsorted(doc[at], np.arange(len(ptr)))
+
+
+def numbered(elements: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """One element for every time of each; the first keeps its name."""
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    out = np.repeat(elements, times)
+    again = nth > 0
+    out[again] = mix(out[again] + mix(nth[again].astype(np.uint64)))
+    return out
+
+
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, "text"):
-            hashes, ptr = word_shingles(piece.column("text"))
-            rows = bands(signatures(hashes, ptr))
-            offsets = np.concatenate([[0], np.cumsum(np.where(np.diff(ptr) > 0, rows.shape[1], 0))])
-            values = rows[np.diff(ptr) > 0].reshape(-1).view(np.int64)
+            elements, times, ptr = counted(*word_shingles(piece.column("text")))
+            rows = bands(signatures(elements, ptr, weights=times.astype(np.float64)))
+            some = np.diff(ptr) > 0
+            offsets = np.concatenate([[0], np.cumsum(np.where(some, rows.shape[1], 0))])
+            values = rows[some].reshape(-1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id"), piece.column("h"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))],
                 ["doc_id", "h", "bands"],
@@ -151,10 +175,10 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, "text"):
-            hashes, ptr = word_shingles(piece.column("text"))
-            sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-            yield pa.RecordBatch.from_arrays([piece.column("h"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(joined(sets, np.int64), pa.int64()))], ["h", "s"])
+            hashes, first = word_shingles(piece.column("text"))
+            elements, times, _ = counted(hashes, first)
+            values = numbered(elements, times).view(np.int64)
+            yield pa.RecordBatch.from_arrays([piece.column("h"), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, pa.int64()))], ["h", "s"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
