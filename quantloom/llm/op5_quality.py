@@ -2,15 +2,16 @@
 
 A text is cut into overlapping chunks of 16 bytes, one starting at every eighth
 byte, up to its end. Each byte has a learned embedding; learned filters look at a
-chunk's embeddings; the largest answer of each filter over all chunks, and its mean
-over all chunks, go into one logistic unit. The network is trained on a bounded
-sample of labelled rows: at most SAMPLE rows of each label and SAMPLE_BYTES in all, none longer than
-LEARNED_BYTES, taken in the order of a hash of doc_id. Only the texts are inputs.
+chunk's embeddings; the largest answer of each filter over all chunks of the whole text goes into
+one logistic unit. The network is trained on a bounded sample of labelled rows: the texts of at most
+SAMPLE ids of each label, taken in the order of a hash of doc_id until SAMPLE_BYTES are read. A text is learned
+from whole, whatever its length: only the chunks that win a filter have a gradient. Only the texts are inputs.
 
 Defined results: a null or empty text is one chunk of padding, and scored as such;
 repeated rows get equal scores; rows labelled both ways count by their mean label,
 null labels are left out; without rows of both labels every score is the share
-of good rows (0.5 without any); an empty table gives an empty result.
+of good rows (0.5 without any); very long texts are scored whole, in bounded memory; an empty table
+gives an empty result; other columns, whatever their names, are kept by ``accepted`` and not read.
 """
 
 from __future__ import annotations
@@ -24,12 +25,10 @@ from quantloom.llm.common import text_bytes
 
 #: Bytes between chunk starts; a chunk is two steps long.
 STEP = 8
-EMBEDDING, FILTERS = 8, 24
+EMBEDDING, FILTERS = 8, 32
 #: Labelled rows of each label, and text bytes in all, that the network is trained on.
 SAMPLE, SAMPLE_BYTES = 1500, 32 << 20
-#: Longer texts are scored, but not learned from; a step of training sees so many texts and bytes.
-LEARNED_BYTES, STEP_BYTES = 1 << 20, 1 << 19
-EPOCHS, BATCH, RATE, SEED = 6, 32, 0.01, 7
+EPOCHS, BATCH, RATE, SEED = 8, 32, 0.01, 7
 #: Chunks that are worked on at once.
 CHUNKS = 1 << 16
 GOOD = 0.7
@@ -44,7 +43,7 @@ class Network:
             "embed": rng.normal(0, 0.5, (257, EMBEDDING)).astype(np.float32),
             "filter": rng.normal(0, (2 * STEP * EMBEDDING) ** -0.5, (2 * STEP * EMBEDDING, FILTERS)).astype(np.float32),
             "bias": np.zeros(FILTERS, np.float32),
-            "weight": rng.normal(0, 0.3, 2 * FILTERS).astype(np.float32),
+            "weight": rng.normal(0, 0.3, FILTERS).astype(np.float32),
             "shift": np.zeros(1, np.float32),
         }
 
@@ -69,8 +68,8 @@ class Network:
         return np.maximum(out, 0, out=out)
 
     def pooled(self, blocks: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-        """Maximum and mean of each filter's answers over each text's chunks."""
-        top, total = np.zeros((len(ptr) - 1, FILTERS), np.float32), np.zeros((len(ptr) - 1, FILTERS), np.float64)
+        """The largest of each filter's answers over each text's chunks."""
+        top = np.zeros((len(ptr) - 1, FILTERS), np.float32)
         for at in range(0, len(blocks) - 1, CHUNKS):
             part = self.answers(blocks[at : at + CHUNKS + 1])
             first = np.searchsorted(ptr, at, "right") - 1
@@ -81,51 +80,46 @@ class Network:
             texts, begins, ends = np.arange(first, last)[keep], begins[keep], ends[keep]
             if not len(texts):
                 continue
-            if ends[-1] < len(part):
-                edges = np.stack([begins, ends], 1).reshape(-1)
-            else:
-                edges = np.stack([begins, ends], 1).reshape(-1)[:-1]
-            top[texts] = np.maximum(top[texts], np.maximum.reduceat(part, edges, axis=0)[::2])
-            total[texts] += np.add.reduceat(part, edges, axis=0)[::2]
-        chunks = np.diff(ptr) - 1
-        return np.concatenate([top, (total / chunks[:, None]).astype(np.float32)], axis=1)
+            edges = np.stack([begins, ends], 1).reshape(-1)
+            top[texts] = np.maximum(top[texts], np.maximum.reduceat(part, edges if ends[-1] < len(part) else edges[:-1], axis=0)[::2])
+        return top
+
+    def best(self, blocks: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As :func:`pooled`, and the first block of the chunk that each answer is from."""
+        top = np.full((len(ptr) - 1, FILTERS), -1, np.float32)
+        place = np.zeros((len(ptr) - 1, FILTERS), np.int64)
+        for i in range(len(ptr) - 1):
+            for at in range(int(ptr[i]), int(ptr[i + 1]) - 1, CHUNKS):
+                part = self.answers(blocks[at : min(at + CHUNKS + 1, int(ptr[i + 1]))])
+                where = part.argmax(axis=0)
+                most = part[where, np.arange(FILTERS)]
+                more = most > top[i]
+                top[i][more], place[i][more] = most[more], at + where[more]
+        return top, place
 
     def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        features = self.pooled(*self.blocks(data, offs)).astype(np.float64)
-        z = (features * self.p["weight"]).sum(axis=1) + float(self.p["shift"][0])
+        z = (self.pooled(*self.blocks(data, offs)).astype(np.float64) * self.p["weight"]).sum(axis=1) + float(self.p["shift"][0])
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def gradients(self, data: np.ndarray, offs: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the logistic loss of a few texts."""
+        """Of the logistic loss of a few texts; they are the winning chunks' alone."""
         blocks, ptr = self.blocks(data, offs)
         p = self.p
-        answers = self.answers(blocks)
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
-        x = p["embed"][blocks].reshape(len(blocks), -1)
-        back = np.zeros_like(answers)
-        for i in range(len(ptr) - 1):
-            a, b = ptr[i], ptr[i + 1] - 1
-            own = answers[a:b]
-            best = own.argmax(axis=0)
-            top, mean = own[best, np.arange(FILTERS)], own.mean(axis=0)
-            z = float(np.concatenate([top, mean]) @ p["weight"] + p["shift"][0])
-            err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label[i]) / len(label)
-            grad["weight"] += err * np.concatenate([top, mean])
-            grad["shift"] += err
-            back[a:b] += (own > 0) * (err * p["weight"][FILTERS:] / (b - a)).astype(np.float32)
-            back[a + best, np.arange(FILTERS)] += (top > 0) * (err * p["weight"][:FILTERS])
-        half = STEP * EMBEDDING
-        grad["filter"][:half] = x[:-1].T @ back
-        grad["filter"][half:] = x[1:].T @ back
-        grad["bias"] = back.sum(axis=0)
-        dx = np.zeros_like(x)
-        dx[:-1] += back @ p["filter"][:half].T
-        dx[1:] += back @ p["filter"][half:].T
-        dx = dx.reshape(-1, EMBEDDING)
-        codes = blocks.reshape(-1)
-        for k in range(EMBEDDING):
-            grad["embed"][:, k] = np.bincount(codes, dx[:, k], 257)
-        return grad
+        top, place = self.best(blocks, ptr)
+        z = top @ p["weight"] + p["shift"][0]
+        err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label) / len(label)
+        back = err[:, None] * p["weight"] * (top > 0)
+        codes = np.concatenate([blocks[place], blocks[place + 1]], axis=2)  # text, filter, byte of the chunk
+        x = p["embed"][codes].reshape(*place.shape, -1)
+        dx = (back[:, :, None] * p["filter"].T).reshape(-1, EMBEDDING)
+        flat = codes.reshape(-1)
+        return {
+            "embed": np.stack([np.bincount(flat, dx[:, k], 257) for k in range(EMBEDDING)], axis=1),
+            "filter": np.einsum("nfd,nf->df", x, back),
+            "bias": back.sum(axis=0),
+            "weight": err @ top,
+            "shift": err.sum(keepdims=True),
+        }
 
 
 def fit(texts: list[str], labels: list[float], *, epochs: int = EPOCHS, seed: int = SEED) -> Network:
@@ -136,7 +130,8 @@ def fit(texts: list[str], labels: list[float], *, epochs: int = EPOCHS, seed: in
     first, second = ({k: np.zeros(v.shape) for k, v in net.p.items()} for _ in range(2))
     step = 0
     for epoch in range(epochs):
-        for some in _steps(rng.permutation(len(raw)).tolist(), raw):
+        order = rng.permutation(len(raw))
+        for some in (order[i : i + BATCH].tolist() for i in range(0, len(order), BATCH)):
             offs = np.concatenate([[0], np.cumsum([len(raw[i]) for i in some])])
             grad = net.gradients(np.concatenate([raw[i] for i in some]), offs, label[some])
             step += 1
@@ -148,19 +143,6 @@ def fit(texts: list[str], labels: list[float], *, epochs: int = EPOCHS, seed: in
     return net
 
 
-def _steps(order: list[int], raw: list[np.ndarray]) -> list[list[int]]:
-    """The texts in small groups, bounded in number and bytes."""
-    out: list[list[int]] = [[]]
-    size = 0
-    for i in order:
-        if out[-1] and (len(out[-1]) == BATCH or size + len(raw[i]) > STEP_BYTES):
-            out.append([])
-            size = 0
-        out[-1].append(i)
-        size += len(raw[i])
-    return out
-
-
 def is_held_out(key: Column) -> Column:
     """Rows whose labels are not learned from."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -176,11 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, sample_by
     ids = spark.createDataFrame([(int(r["doc_id"]), float(r["quality"] >= 0.5)) for r in chosen], "doc_id long, label double")
     rows, size = [], 0
     for r in docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():  # at most 2 x sample ids
-        length = len(r["text"].encode())
-        if length > LEARNED_BYTES:
-            continue
-        size += length
-        if size > sample_bytes or len(rows) >= 4 * sample:
+        size += len(r["text"].encode()) + 64
+        if size > sample_bytes:
             break
         rows.append((r["text"], r["label"]))
     if len({y for _, y in rows}) < 2 or not 0 < share < 1:
