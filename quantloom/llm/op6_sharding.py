@@ -6,9 +6,9 @@ key; the record goes to the shard with the highest ``-weight / ln(u)``. A new
 shard takes records only into itself; about ``w / total`` of them move.
 
 Defined results: a null key counts as the text ``null``; a null text has size 1
-and the checksum of an empty text; repeated rows each get a slot of their own;
-an empty table gives an empty result. Columns of the input that are not named
-here are ignored, so their names cannot clash.
+and the checksum of an empty text, a very long one is counted whole; repeated rows each get a slot of
+their own, in no stated order among themselves; an empty table gives an empty result. Columns of the
+input that are not named here are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.llm.common import stored
+
 #: Parts of a shard within which slots are counted in one task.
 SLOT_PARTS = 512
 
@@ -40,35 +42,26 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 def place(docs: DataFrame, weights: Sequence[float], grown: Sequence[float], *, key: str = "doc_id", text: str = "text", parts: int = SLOT_PARTS) -> DataFrame:
     """Shard, slot, and the shard with one more, of every row.
 
-    Slots are gapless in each shard. A shard is cut into ``parts`` by a hash, so
-    that no task counts a whole shard; only the ``shards x parts`` totals, whose
-    number does not grow with the data, are summed up in one place. Equal rows
-    are counted once and dealt out again at the end: a hot key is no hot task.
+    The documents are read once, for a table of about 40 bytes a row in the shared folder. Slots
+    are gapless in each shard: a shard is cut into ``parts`` by the rows' places in the input, so that
+    no task counts a whole shard and many rows of one key or text spread like all others; only the
+    ``shards x parts`` totals, whose number does not grow with the data, are summed up in one place.
     """
     from pyspark.sql import Window
 
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = (
-        docs.select(F.col(key).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
-        .groupBy("doc_id", "size", "text_crc32")
-        .agg(F.count("*").alias("n"))
-        .withColumn("shard", rendezvous(F.col("doc_id"), weights))
-        .withColumn("part", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(parts)).cast("int"))
+    rows = docs.select(
+        F.col(key).alias("doc_id"),
+        (F.octet_length(body) + 1).cast("long").alias("size"),
+        F.crc32(body.cast("binary")).alias("text_crc32"),
+        rendezvous(F.col(key), weights).alias("shard"),
+        rendezvous(F.col(key), grown).alias("grown_shard"),
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int").alias("part"),
     )
-    in_part = Window.partitionBy("shard", "part")
-    upto = in_part.orderBy(F.col("doc_id").asc_nulls_last(), "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
-    counted = rows.withColumn("upto", F.sum("n").over(upto))
-    totals = rows.groupBy("shard", "part").agg(F.sum("n").alias("total"))
+    rows = stored(rows)
+    totals = rows.groupBy("shard", "part").agg(F.count("*").alias("total"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(F.col("shard").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
-    slots = counted.join(F.broadcast(starts), (F.col("shard") == F.col("s")) & (F.col("part") == F.col("p")))  # at most shards x parts rows
-    first = F.col("start") + F.col("upto") - F.col("n")
-    return slots.select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("key").alias("law"),
-        "shard",
-        F.explode(F.sequence(first, first + F.col("n") - 1)).alias("slot"),
-        rendezvous(F.col("doc_id"), grown).alias("grown_shard"),
-    )
+    nth = F.row_number().over(Window.partitionBy("shard", "part").orderBy(F.col("doc_id").asc_nulls_last(), "size", "text_crc32"))
+    slots = rows.withColumn("nth", nth).join(F.broadcast(starts), (F.col("shard") == F.col("s")) & (F.col("part") == F.col("p")))  # at most shards x parts rows
+    return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("nth") - 1).alias("slot"), "grown_shard")
