@@ -8,16 +8,17 @@ Proximity asks for terms in any order within a span. Segments are written to the
 shared folder; a search reads them and needs no shuffle, as all that is known of a
 document is in one segment.
 
-An index may be limited to the terms of the queries it is meant for; positions
-count all words, so results are the same. Terms are 64-bit hashes; whole-word
-hashes that clash would have to clash for every word of a window at once.
+The index holds the postings of all words of all documents, so one index answers any benchmark
+and any phrase; a caller may give a vocabulary to index less. Terms are keyed 64-bit hashes; whole-word
+hashes that clash would have to clash for every word of a window at once. The benchmark is searched
+for in blocks of BLOCK_BYTES of its text: no more of it is held by the driver or sent to a worker at a time.
 
 Words are runs of ASCII letters and digits and of everything beyond ASCII, in ASCII
 lower case. Defined results: a null or empty text, or one without words, is never
 hit and a benchmark item without words has no window; repeated documents are rows of
 their own; repeated items count by their distinct item_id; an item without item_id
-is left out; empty tables give no documents, or documents without hits; other
-columns are not read.
+is left out; a very long document is a segment of its own; empty tables give no documents, or documents
+without hits; other columns, whatever their names, are not read (``clean`` keeps them).
 """
 
 from __future__ import annotations
@@ -36,10 +37,12 @@ from quantloom.llm.common import LOWER, WORD, pieces, runs, span_hashes, stored,
 WINDOW = 13
 #: A document is contaminated if one in so many of its words is hit.
 SHARE = 20
-#: Benchmark rows that are searched for at once; a larger benchmark is searched in blocks.
-BLOCK_ITEMS = 20_000
+#: Text bytes of the benchmark that are searched for at once; a larger benchmark is searched in blocks.
+BLOCK_BYTES = 8 << 20
+#: Text bytes of a segment of the index (or one document).
+SEGMENT_BYTES = 4 << 20
 
-SEGMENT = "doc_ids array<long>, doc_starts array<int>, terms array<long>, term_starts array<int>, postings binary"
+SEGMENT = "rows array<long>, doc_ids array<long>, doc_starts array<int>, terms array<long>, term_starts array<int>, postings binary"
 
 
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +57,7 @@ def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", voc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", SEGMENT_BYTES):
                 terms, first = words(piece.column("text"))
                 if vocabulary is None:
                     places = np.arange(len(terms))
@@ -65,22 +68,23 @@ def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", voc
                 order = np.argsort(chosen, kind="stable")
                 names, begins = np.unique(chosen[order], return_index=True)
                 row = [
+                    pa.array([piece.column("row").to_pylist()], pa.list_(pa.int64())),
                     pa.array([piece.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                     pa.array([first.astype(np.int32)], pa.list_(pa.int32())),
                     pa.array([names.view(np.int64)], pa.list_(pa.int64())),
                     pa.array([np.append(begins, len(order)).astype(np.int32)], pa.list_(pa.int32())),
                     pa.array([places[order].astype("<i4").tobytes()], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(row, ["doc_ids", "doc_starts", "terms", "term_starts", "postings"])
+                yield pa.RecordBatch.from_arrays(row, ["rows", "doc_ids", "doc_starts", "terms", "term_starts", "postings"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SEGMENT)
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SEGMENT)
 
 
 class Segment:
     """Postings of one segment; positions count words from the segment's start."""
 
     def __init__(self, row: dict):
-        self.doc_ids = row["doc_ids"]
+        self.rows, self.doc_ids = row["rows"], row["doc_ids"]
         self.first = np.array(row["doc_starts"], np.int64)
         self.terms = np.array(row["terms"], np.int64).view(np.uint64)
         self.ptr = np.array(row["term_starts"], np.int64)
@@ -169,76 +173,94 @@ class Windows:
 
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_starts array<int>, hit_ends array<int>"
+HITS = "row long, doc_id long, n_words long, items array<long>, hit_starts array<int>, hit_ends array<int>"
 
 
-def _digest(items: set[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-
-
-def search_segment(segment: Segment, blocks: list[Windows]) -> pa.RecordBatch:
-    """Hits of all blocks' windows in one segment, by document; spans of hit words count from the document's start."""
-    total = int(segment.first[-1])
+def search_segment(segment: Segment, block: Windows) -> pa.RecordBatch:
+    """Per document the items with occurrences, and the spans of hit words counted from the document's start."""
+    total, first = int(segment.first[-1]), segment.first
     change = np.zeros(total + 1, np.int32)
     found: dict[int, set[int]] = {}
-    for block in blocks:
-        for w, hits in block.search(segment):
-            np.add.at(change, hits, 1)
-            np.add.at(change, hits + len(block.rows[w]), -1)
-            for doc in np.unique(np.searchsorted(segment.first, hits, "right") - 1).tolist():
-                found.setdefault(doc, set()).update(block.items[w])
+    for w, hits in block.search(segment):
+        np.add.at(change, hits, 1)
+        np.add.at(change, hits + len(block.rows[w]), -1)
+        for doc in np.unique(np.searchsorted(first, hits, "right") - 1).tolist():
+            found.setdefault(doc, set()).update(block.items[w])
     hit = np.cumsum(change[:-1]) > 0
-    sums = np.concatenate([[0], np.cumsum(hit)])
-    n_words, n_hit = np.diff(segment.first), sums[segment.first[1:]] - sums[segment.first[:-1]]
     starts, ends = [], []
     for doc in range(len(segment.doc_ids)):
-        if n_hit[doc]:
-            edge = np.diff(np.concatenate([[0], hit[segment.first[doc] : segment.first[doc + 1]].astype(np.int8), [0]]))
-            starts.append(np.flatnonzero(edge == 1).tolist())
-            ends.append(np.flatnonzero(edge == -1).tolist())
-        else:
-            starts.append([])
-            ends.append([])
-    none = _digest(set())
+        edge = np.diff(np.concatenate([[0], hit[first[doc] : first[doc + 1]].astype(np.int8), [0]])) if doc in found else np.zeros(0, np.int8)
+        starts.append(np.flatnonzero(edge == 1).tolist())
+        ends.append(np.flatnonzero(edge == -1).tolist())
     columns = [
+        pa.array(segment.rows, pa.int64()),
         pa.array(segment.doc_ids, pa.int64()),
-        pa.array(n_words, pa.int64()),
-        pa.array(n_hit, pa.int64()),
-        pa.array([len(found.get(d, ())) for d in range(len(segment.doc_ids))], pa.int64()),
-        pa.array([_digest(found[d]) if d in found else none for d in range(len(segment.doc_ids))], pa.string()),
-        pa.array((n_hit > 0) & (SHARE * n_hit >= n_words), pa.bool_()),
+        pa.array(np.diff(first), pa.int64()),
+        pa.array([sorted(found.get(d, ())) for d in range(len(segment.doc_ids))], pa.list_(pa.int64())),
         pa.array(starts, pa.list_(pa.int32())),
         pa.array(ends, pa.list_(pa.int32())),
     ]
-    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RESULT.split(", ")])
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in HITS.split(", ")])
+
+
+def _search(index: DataFrame, block: Windows) -> DataFrame:
+    shared = index.sparkSession.sparkContext.broadcast(block)  # windows of at most BLOCK_BYTES of text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield search_segment(Segment({c: batch.column(c)[i].as_py() if c in ("postings", "rows", "doc_ids") else batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in batch.schema.names}), shared.value)
+
+    return index.mapInArrow(run, HITS)
 
 
-def blocks_of(benchmark: DataFrame, *, item: str = "item_id", text: str = "text", size: int = WINDOW) -> list[Windows]:
-    """The benchmark's windows in blocks of BLOCK_ITEMS rows; it is a query set that the driver reads."""
-    blocks, held = [], []
-    for row in benchmark.select(item, text).toLocalIterator():
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Results of documents from the lists of spans and items of all blocks."""
+    for batch in batches:
+        out = []
+        for doc_id, n, items, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_words", "items", "hit_starts", "hit_ends")), strict=True):
+            spans: list[list[int]] = []
+            for a, b in sorted((a, b) for x, y in zip(starts, ends, strict=True) for a, b in zip(x, y, strict=True)):
+                if spans and a <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], b)
+                else:
+                    spans.append([a, b])
+            names = sorted({str(i) for one in items for i in one})
+            n_hit = sum(b - a for a, b in spans)
+            out.append((doc_id, n, n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0 and SHARE * n_hit >= n, [a for a, _ in spans], [b for _, b in spans]))
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [c.split()[0] for c in RESULT.split(", ")])
+
+
+def blocks_of(benchmark: DataFrame, *, item: str = "item_id", text: str = "text", size: int = WINDOW) -> Iterator[Windows]:
+    """The benchmark's windows in blocks, one at a time; one block without windows if it is empty."""
+    held, length, some = [], 0, False
+    for row in benchmark.select(item, text).where(F.col(item).isNotNull()).toLocalIterator():
         held.append((row[0], row[1]))
-        if len(held) == BLOCK_ITEMS:
-            blocks.append(Windows(held, size))
-            held = []
-    return [*blocks, Windows(held, size)] if held or not blocks else blocks
+        length += len((row[1] or "").encode()) + 16
+        if length >= BLOCK_BYTES:
+            yield Windows(held, size)
+            held, length, some = [], 0, True
+    if held or not some:
+        yield Windows(held, size)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, index: DataFrame | None = None) -> DataFrame:
     """Per document the words hit by windows of the benchmark; builds and stores the index unless one is given."""
-    spark = docs.sparkSession
-    blocks = blocks_of(benchmark, size=window)
     if index is None:
-        vocabulary = np.unique(np.concatenate([b.vocabulary for b in blocks]))
-        index = stored(build_index(docs, vocabulary=vocabulary))
-    shared = [spark.sparkContext.broadcast(b) for b in blocks]  # each of at most BLOCK_ITEMS items
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                segment = Segment({c: batch.column(c)[i].as_py() if c == "postings" else (batch.column(c)[i].values.to_numpy(zero_copy_only=False) if c != "doc_ids" else batch.column(c)[i].as_py()) for c in batch.schema.names})
-                yield search_segment(segment, [b.value for b in shared])
-
-    return index.mapInArrow(run, RESULT)
+        index = stored(build_index(docs))
+    blocks = blocks_of(benchmark, size=window)
+    block, after = next(blocks), next(blocks, None)
+    hits = _search(index, block)
+    lists = ("items", "hit_starts", "hit_ends")
+    if after is None:
+        return hits.select("doc_id", "n_words", *(F.array(c).alias(c) for c in lists)).mapInArrow(_totals, RESULT)
+    hits = stored(hits)  # all documents once; of further blocks only documents with hits
+    while after is not None:
+        hits = hits.unionByName(stored(_search(index, after).where(F.size("items") > 0)))
+        after = next(blocks, None)
+    whole = hits.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.collect_list(c).alias(c) for c in lists))  # at most one list per block
+    return whole.drop("row").mapInArrow(_totals, RESULT)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
