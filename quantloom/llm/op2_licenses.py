@@ -12,8 +12,8 @@ Sentences that speak of licenses but are unknown, or known but used by no rule,
 
 Texts without any of the trigger words hold no known sentence, and are not cut up.
 Defined results: null and empty texts have no licenses; repeated rows stay; ties
-between rules of equal length go by the rules' order; an empty table gives an empty result;
-other columns are not read.
+between rules of equal length go by the rules' order; a very long text is scanned whole; an empty table gives
+an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -54,9 +54,18 @@ SENTENCES = {
     "BSDNoWarranty2": "this software is provided by # as is and any express or implied warranties #",
     "GPLUnder3": "this work is licensed under the gnu general public license version 3",
     "GPLUnder2": "this work is licensed under the gnu general public license version 2",
-    "GPLFree": "# is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version # of the license or at your option any later version",
-    "LGPLFree": "# is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version # of the license or at your option any later version",
-    "AGPLFree": "# is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version # of the license or at your option any later version",
+    "GPLFree1": "# is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 1 of the license or at your option any later version",
+    "GPLFree2": "# is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "GPLFree3": "# is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "LGPLFree2": "# is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "LGPLFree21": "# is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "LGPLFree3": "# is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "LibraryGPLFree2": "# is free software you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "AGPLFree3": "# is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "GPLOnly2": "# is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "GPLOnly2b": "# is free software you can redistribute it and or modify it under the terms of version 2 of the gnu general public license as published by the free software foundation",
+    "GPLOnly3": "# is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation",
+    "GPLOnly3b": "# is free software you can redistribute it and or modify it under the terms of version 3 of the gnu general public license as published by the free software foundation",
     "GPLNoWarranty": "# is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "GPLSee": "see the gnu # general public license for more details",
     "GPLSeePlain": "see the gnu general public license for more details",
@@ -68,6 +77,34 @@ SENTENCES = {
     "CCBY4": "licensed under cc by 4 0",
     "CC0": "licensed under cc0 1 0",
     "Unlicense": "this is free and unencumbered software released into the public domain",
+    "UnlicenseFree": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "ZlibNoWarranty": "this software is provided as is without any express or implied warranty",
+    "ZlibNoLiability": "in no event will the # be held liable for any damages arising from the use of this software",
+    "ZlibGrant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "ZlibOrigin": "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+    "ZlibThanks": "if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required",
+    "ZlibAltered": "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
+    "ZlibNotice": "this notice may not be removed or altered from any source distribution",
+    "BoostTitle": "boost software license version 1 0 august 17th 2003",
+    "BoostGrant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "BoostUnder": "distributed under the boost software license version 1 0",
+    "ZeroGrant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "EclipseUnder": "this program and the accompanying materials are made available under the terms of the eclipse public license # which is available at #",
+    "CDDLUnder": "the contents of this file are subject to the terms of the common development and distribution license #",
+    "ApacheTitle": "apache license version 2 0 january 2004",
+    "ApacheTitle2": "apache license version 2 0 january 2004 http www apache org licenses",
+    "GPLTitle1": "gnu general public license version 1 february 1989",
+    "GPLTitle2": "gnu general public license version 2 june 1991",
+    "GPLTitle3": "gnu general public license version 3 29 june 2007",
+    "LGPLTitle2": "gnu library general public license version 2 june 1991",
+    "LGPLTitle21": "gnu lesser general public license version 2 1 february 1999",
+    "LGPLTitle3": "gnu lesser general public license version 3 29 june 2007",
+    "AGPLTitle3": "gnu affero general public license version 3 19 november 2007",
+    "GFDLTitle12": "gnu free documentation license version 1 2 november 2002",
+    "GFDLTitle13": "gnu free documentation license version 1 3 3 november 2008",
+    "MPLTitle": "mozilla public license version 2 0",
+    "CC0Title": "cc0 1 0 universal",
+    "GNUVerbatim": "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
 }
 
 #: License and the sentences that make it, in order (fixed values: public licence texts and notices).
@@ -80,12 +117,36 @@ RULES = [
     ("MIT", ("MITUnder",)),
     ("MIT", ("MITUnder2",)),
     ("ISC", ("ISCGrant", "ISCNoWarranty")),
-    ("GPL", ("GPLFree", "GPLNoWarranty", "GPLSeePlain", "GPLReceived")),
-    ("GPL", ("GPLFree", "GPLNoWarranty", "GPLSeePlain")),
-    ("LGPL", ("LGPLFree", "GPLNoWarranty", "GPLSee", "GPLReceived")),
-    ("LGPL", ("LGPLFree", "GPLNoWarranty", "GPLSee")),
-    ("AGPL", ("AGPLFree", "GPLNoWarranty", "GPLSee", "GPLReceived")),
-    ("AGPL", ("AGPLFree", "GPLNoWarranty", "GPLSee")),
+    ("GPL-1.0-or-later", ("GPLFree1", "GPLNoWarranty", "GPLSeePlain", "GPLReceived")),
+    ("GPL-1.0-or-later", ("GPLFree1", "GPLNoWarranty", "GPLSeePlain")),
+    ("GPL-1.0-or-later", ("GPLFree1",)),
+    ("GPL-2.0-or-later", ("GPLFree2", "GPLNoWarranty", "GPLSeePlain", "GPLReceived")),
+    ("GPL-2.0-or-later", ("GPLFree2", "GPLNoWarranty", "GPLSeePlain")),
+    ("GPL-2.0-or-later", ("GPLFree2",)),
+    ("GPL-3.0-or-later", ("GPLFree3", "GPLNoWarranty", "GPLSeePlain", "GPLReceived")),
+    ("GPL-3.0-or-later", ("GPLFree3", "GPLNoWarranty", "GPLSeePlain")),
+    ("GPL-3.0-or-later", ("GPLFree3",)),
+    ("GPL-2.0-only", ("GPLOnly2", "GPLNoWarranty", "GPLSeePlain", "GPLReceived")),
+    ("GPL-2.0-only", ("GPLOnly2", "GPLNoWarranty", "GPLSeePlain")),
+    ("GPL-2.0-only", ("GPLOnly2",)),
+    ("GPL-3.0-only", ("GPLOnly3", "GPLNoWarranty", "GPLSeePlain", "GPLReceived")),
+    ("GPL-3.0-only", ("GPLOnly3", "GPLNoWarranty", "GPLSeePlain")),
+    ("GPL-3.0-only", ("GPLOnly3",)),
+    ("LGPL-2.0-or-later", ("LGPLFree2", "GPLNoWarranty", "GPLSee", "GPLReceived")),
+    ("LGPL-2.0-or-later", ("LGPLFree2", "GPLNoWarranty", "GPLSee")),
+    ("LGPL-2.0-or-later", ("LGPLFree2",)),
+    ("LGPL-2.0-or-later", ("LibraryGPLFree2", "GPLNoWarranty", "GPLSee", "GPLReceived")),
+    ("LGPL-2.0-or-later", ("LibraryGPLFree2", "GPLNoWarranty", "GPLSee")),
+    ("LGPL-2.0-or-later", ("LibraryGPLFree2",)),
+    ("LGPL-2.1-or-later", ("LGPLFree21", "GPLNoWarranty", "GPLSee", "GPLReceived")),
+    ("LGPL-2.1-or-later", ("LGPLFree21", "GPLNoWarranty", "GPLSee")),
+    ("LGPL-2.1-or-later", ("LGPLFree21",)),
+    ("LGPL-3.0-or-later", ("LGPLFree3", "GPLNoWarranty", "GPLSee", "GPLReceived")),
+    ("LGPL-3.0-or-later", ("LGPLFree3", "GPLNoWarranty", "GPLSee")),
+    ("LGPL-3.0-or-later", ("LGPLFree3",)),
+    ("AGPL-3.0-or-later", ("AGPLFree3", "GPLNoWarranty", "GPLSee", "GPLReceived")),
+    ("AGPL-3.0-or-later", ("AGPLFree3", "GPLNoWarranty", "GPLSee")),
+    ("AGPL-3.0-or-later", ("AGPLFree3",)),
     ("GPL-3.0", ("GPLUnder3",)),
     ("GPL-2.0", ("GPLUnder2",)),
     ("MPL-2.0", ("MPLSubject", "MPLCopy")),
@@ -94,15 +155,36 @@ RULES = [
     ("CC-BY-SA-4.0", ("CCBYSA4",)),
     ("CC-BY-4.0", ("CCBY4",)),
     ("CC0-1.0", ("CC0",)),
+    ("Unlicense", ("Unlicense", "UnlicenseFree")),
     ("Unlicense", ("Unlicense",)),
+    ("Zlib", ("ZlibNoWarranty", "ZlibNoLiability", "ZlibGrant", "ZlibOrigin", "ZlibThanks", "ZlibAltered", "ZlibNotice")),
+    ("Zlib", ("ZlibNoWarranty", "ZlibNoLiability", "ZlibGrant")),
+    ("BSL-1.0", ("BoostTitle", "BoostGrant")),
+    ("BSL-1.0", ("BoostGrant",)),
+    ("BSL-1.0", ("BoostUnder",)),
+    ("0BSD", ("ZeroGrant", "ISCNoWarranty")),
+    ("EPL", ("EclipseUnder",)),
+    ("CDDL", ("CDDLUnder",)),
+    ("Apache-2.0", ("ApacheTitle",)),
+    ("GPL-1.0", ("GPLTitle1",)),
+    ("GPL-2.0", ("GPLTitle2",)),
+    ("GPL-3.0", ("GPLTitle3",)),
+    ("LGPL-2.0", ("LGPLTitle2",)),
+    ("LGPL-2.1", ("LGPLTitle21",)),
+    ("LGPL-3.0", ("LGPLTitle3",)),
+    ("AGPL-3.0", ("AGPLTitle3",)),
+    ("GFDL-1.2", ("GFDLTitle12",)),
+    ("GFDL-1.3", ("GFDLTitle13",)),
+    ("MPL-2.0", ("MPLTitle",)),
+    ("CC0-1.0", ("CC0Title",)),
     ("AllRightsReserved", ("AllRights",)),
 ]
 
 #: A known sentence has one of these in it; so has one that may speak of licenses.
-TRIGGERS = ("licen", "copyright", "(c)", "©", "reserved", "permi", "warrant", "redistribut", "software", "unencumbered", "liable", "mpl", "gnu", "contributors")
+TRIGGERS = ("licen", "copyright", "(c)", "©", "reserved", "permi", "warrant", "redistribut", "software", "unencumbered", "liable", "mpl", "gnu", "contributors", "misrepresented", "cc0", "notice", "implied", "acknowledgment", "artistic", "license")
 
 #: Other wordings of a sentence.
-SAME = {"ApacheUnder2": "ApacheUnder", "MITNotice2": "MITNotice", "ISCGrant2": "ISCGrant", "ISCNoWarranty2": "ISCNoWarranty", "BSDNoWarranty2": "BSDNoWarranty"}
+SAME = {"ApacheUnder2": "ApacheUnder", "MITNotice2": "MITNotice", "ISCGrant2": "ISCGrant", "ISCNoWarranty2": "ISCNoWarranty", "BSDNoWarranty2": "BSDNoWarranty", "ApacheTitle2": "ApacheTitle", "GPLOnly2b": "GPLOnly2", "GPLOnly3b": "GPLOnly3"}
 
 #: Where sentences may end: at line ends, and at a mark before white space.
 _END = re.compile(r"[.!?:;](?=\s)|\n\s*\n|\n(?=\s*(?:[*#/;-]|\d+\.|\()|\s*[A-Z])")
