@@ -83,3 +83,44 @@ def holding(daily: DataFrame, rebalances: DataFrame, date: str = "date_") -> Dat
     both = days.join(marks, date, "full")
     period = both.select(date, F.last("__r", True).over(Window.orderBy(date).rowsBetween(Window.unboundedPreceding, -1)).alias("rebalance"))
     return daily.join(period.where("rebalance is not null"), date)
+
+
+def widen(df: DataFrame, keys: Sequence[str], names: str, values: str, columns: Sequence[str], how: str = "last", order: str | None = None) -> DataFrame:
+    """One column per stated name; several values of a cell go by ``how`` (the last by ``order``)."""
+    x = F.max_by(values, order) if how == "last" and order else {"last": F.last, "first": F.first, "sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}[how](values)
+    return df.groupBy(*keys).pivot(names, list(columns)).agg(x)
+
+
+def lengthen(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str = "name", value: str = "value") -> DataFrame:
+    return df.unpivot(list(keys), list(columns), name, value)
+
+
+def calendar_steps(calendar: DataFrame, n: int, date: str = "date_") -> DataFrame:
+    """The session n further on, and the number of sessions since the first: one row per session."""
+    return calendar.select(date, F.lead(date, n).over(Window.orderBy("k")).alias("later"), (F.col("k") - 1).cast("long").alias("since"))
+
+
+def adjusted(df: DataFrame, ratio: str, columns: Sequence[str], code: str = "code", date: str = "date_") -> DataFrame:
+    """Prices before a split or dividend times the ratios of all later ones, so that the last prices stay."""
+    later = Window.partitionBy(code).orderBy(date).rowsBetween(1, Window.unboundedFollowing)
+    factor = F.coalesce(F.product(F.col(ratio)).over(later), F.lit(1.0))
+    return df.withColumn("__f", factor).withColumns({c: F.col(c) * F.col("__f") for c in columns}).drop("__f")
+
+
+def stride(df: DataFrame, n: int, code: str = "code", date: str = "date_") -> DataFrame:
+    """Every n-th row of a code, from its first."""
+    return df.withColumn("__k", F.row_number().over(Window.partitionBy(code).orderBy(date))).where(F.pmod(F.col("__k") - 1, F.lit(n)) == 0).drop("__k")
+
+
+def fractions(df: DataFrame, column: str, share: float, date: str = "date_", code: str = "code") -> DataFrame:
+    """The top and bottom share of a date's rows, one row each at least; ties go by code."""
+    w, x = Window.partitionBy(date), F.round(column, 9)
+    rows = df.where(F.col(column).isNotNull())
+    most = F.greatest(F.lit(1), F.floor(F.count("*").over(w) * share))
+    side = F.when(F.row_number().over(w.orderBy(x.desc(), code)) <= most, "top").when(F.row_number().over(w.orderBy(x, code)) <= most, "bottom")
+    return rows.withColumn("side", side).where("side is not null")
+
+
+def limit_codes(df: DataFrame, n: int, code: str = "code") -> DataFrame:
+    """Rows of the first n codes: a report's limit."""
+    return df.join(F.broadcast(df.select(code).distinct().orderBy(code).limit(n)), code, "left_semi")  # n rows

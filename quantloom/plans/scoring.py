@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.operators import evaluation, scorecard
+from quantloom.operators import evaluation, portfolio, scorecard
 from quantloom.plans.panels import DAILY_SQL, MONTHLY_SQL, daily, monthly
-from quantloom.plans.research import FACTOR_SQL, IC_SQL, QUERIES, TOP_SQL, WEIGHT_SQL, _corr, factor_data, ic_spearman, query
+from quantloom.plans.research import FACTOR_SQL, IC_SQL, TOP_SQL, WEIGHT_SQL, _corr, factor_data, ic_spearman, query
 
 NAMES = ("momentum", "reversal", "size")
 
@@ -188,7 +188,7 @@ def signals_threshold(spark, sf_dir):
     ("position",),
 )
 def overlapping_positions(spark, sf_dir):
-    return scorecard.positions(QUERIES["long_short_weights"](spark, sf_dir), 3)
+    return scorecard.positions(portfolio.top_weights(factor_data(spark, sf_dir), "factor", 5, short=True), 3)
 
 
 @query(
