@@ -27,8 +27,8 @@ def more_corrections(tests: DataFrame, p: str = "p", limit: float = 0.5, alpha:
     down = every.orderBy(F.desc("__k")).rowsBetween(Window.unboundedPreceding, 0)
     harmonic = F.aggregate(F.sequence(F.lit(1), F.col("__n").cast("int")), F.lit(0.0), lambda a, k: a + 1.0 / k)
     step = F.min(F.col(p) * F.col("__n") / F.col("__k")).over(down)
-    out = rows.select(*tests.columns, F.least(step * harmonic, F.lit(1.0)).alias("by"), F.least(step * F.col("__pi0"), F.lit(1.0)).alias("q"))
-    return out.select("*", (F.col("by") <= alpha).alias("by_found"), (F.col("q") <= alpha).alias("q_found"))
+    out = rows.select(*tests.columns, F.least(step * harmonic, F.lit(1.0)).alias("yekutieli"), F.least(step * F.col("__pi0"), F.lit(1.0)).alias("q"))
+    return out.select("*", (F.col("yekutieli") <= alpha).alias("yekutieli_found"), (F.col("q") <= alpha).alias("q_found"))
 
 
 def mixture(z: np.ndarray, rounds: int = 200, tol: float = 1e-8) -> tuple[float, float, np.ndarray]:

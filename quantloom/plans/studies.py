@@ -182,8 +182,8 @@ def tests_null_share(spark, sf_dir):
 @query(
     f"""WITH r AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, name) AS k, least(avg(CAST(p > 0.5 AS DOUBLE)) OVER () / 0.5, 1) AS pi0 FROM ({P_NAMED_SQL})),
         s AS (SELECT *, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS step, (SELECT sum(1.0 / i) FROM range(1, 100000) t(i) WHERE i <= m) AS h FROM r)
-        SELECT name, p, least(step * h, 1) AS "by", least(step * pi0, 1) AS q, least(step * h, 1) <= 0.05 AS by_found, least(step * pi0, 1) <= 0.05 AS q_found FROM s""",
-    ("p", "by", "q"),
+        SELECT name, p, least(step * h, 1) AS yekutieli, least(step * pi0, 1) AS q, least(step * h, 1) <= 0.05 AS yekutieli_found, least(step * pi0, 1) <= 0.05 AS q_found FROM s""",
+    ("p", "yekutieli", "q"),
 )
 def tests_corrected(spark, sf_dir):
     return bayes.more_corrections(tests(spark, sf_dir))

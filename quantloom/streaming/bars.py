@@ -54,3 +54,22 @@ def tick_sink(ticks: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
 def raw_sink(messages: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Append raw messages as lines of JSON."""
     return messages.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def sessions(rows: DataFrame, gap: str, by: str, *aggregates, time: str = "ts", watermark: str | None = None) -> DataFrame:
+    """Aggregates of a key's sessions, which end after ``gap`` without a row; the same plan for tables and streams."""
+    source = rows.withWatermark(time, watermark) if watermark else rows
+    out = source.groupBy(by, F.session_window(time, gap).alias("w")).agg(*aggregates)
+    return out.select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), *(c for c in out.columns if c not in (by, "w")))
+
+
+def sliding(rows: DataFrame, width: str, step: str, by: str, *aggregates, time: str = "ts", watermark: str | None = None) -> DataFrame:
+    """Aggregates of overlapping windows of ``width``, one starting every ``step``."""
+    source = rows.withWatermark(time, watermark) if watermark else rows
+    out = source.groupBy(by, F.window(time, width, step).alias("w")).agg(*aggregates)
+    return out.select(by, F.col("w.start").alias("start"), *(c for c in out.columns if c not in (by, "w")))
+
+
+def once(stream: DataFrame, keys: list[str], *, time: str = "ts", watermark: str = "1 hour") -> DataFrame:
+    """The first of rows with equal keys and time that arrive within the watermark."""
+    return stream.withWatermark(time, watermark).dropDuplicatesWithinWatermark([*keys, time])
