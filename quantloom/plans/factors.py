@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.functions import alpha101, dsl, gtja191
+from quantloom.functions import alpha101, dsl, gtja191, mined
 from quantloom.functions.dsl import call, col, parse
 from quantloom.functions.expr import Expr, Frame, lower
 from quantloom.functions.render import render
 from quantloom.plans import panels
 
-PANELS = {"daily": (panels.daily, panels.DAILY_SQL), "monthly": (panels.monthly, panels.MONTHLY_SQL), "indexed": (panels.indexed, panels.INDEXED_SQL)}
+PANELS = {"daily": (panels.daily, panels.DAILY_SQL), "monthly": (panels.monthly, panels.MONTHLY_SQL), "indexed": (panels.indexed, panels.INDEXED_SQL), "flows": (panels.flows, panels.FLOWS_SQL)}
 
 
 def shown(x):
@@ -99,6 +99,8 @@ def alpha_queries() -> dict[str, tuple[str, dict[str, Expr]]]:
     out["gtja191_index"] = ("indexed", {f"alpha_{n}": gtja191.alpha(n) for n in gtja191.NEED_INDEX})
     own = [n for n in gtja191.FORMULAS if n not in gtja191.NEED_INDEX and n not in SPREAD_191]
     # several formulas a query: what they share is planned once
+    for at in range(0, len(mined.names()), 8):
+        out[f"mined_{at // 8 + 1:02d}"] = ("flows", {n: mined.factor(n) for n in mined.names()[at : at + 8]})
     for at in range(0, len(own), 6):
         some = own[at : at + 6]
         out[f"gtja191_{some[0]:03d}_{some[-1]:03d}"] = ("daily", {f"alpha_{n}": gtja191.alpha(n) for n in some})

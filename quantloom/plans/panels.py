@@ -69,6 +69,18 @@ DAILY_SQL = """
                  CASE WHEN o_orderpriority < '2' THEN 'urgent' WHEN o_orderpriority < '4' THEN 'usual' ELSE 'late' END AS subindustry
           FROM orders GROUP BY o_orderpriority, CAST(o_orderdate AS DATE))
 """
+#: Columns of a vendor's flow panel, made of bars: name and its expression in both engines.
+FLOWS = {
+    "turn_rate": "volume / 1000", "turnover": "close * volume", "change_pct": "ret", "rocttm": "(close - open) / (high + low) + 1.5", "net_flow": "volume * (1 + (close - low) / (high + low))", "vroc12": "(volume - 500) / 100",
+    "reinstatement": "(close - low) / 1000", "main_flow": "volume * (close - open) / (close + open)", "main_flow20": "volume * (high + 1) / (low + 1)", "large_flow": "volume * close / (high + 1)", "vol60": "(high + low) / 1000", "tvsd20": "(open + close) / 500", "beta": "close / (open + 1)", "size": "ln(cap)",
+}
+
+
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily(spark, sf_dir).selectExpr("*", *(f"{e} AS {n}" for n, e in FLOWS.items()))
+
+
+FLOWS_SQL = f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in FLOWS.items())} FROM ({DAILY_SQL})"
 INDEXED_SQL = f"SELECT *, avg(open) OVER (PARTITION BY date_) AS index_open, avg(close) OVER (PARTITION BY date_) AS index_close FROM ({DAILY_SQL})"
 
 
