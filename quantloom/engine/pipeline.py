@@ -151,7 +151,7 @@ def _custom(rows: DataFrame, name: str, factor: CustomFactor) -> DataFrame:
             arrays = [w.iloc[place + 1 - factor.window : place + 1].to_numpy(float) for w in wide]
             value = factor.compute(dates[k], wide[0].columns.to_numpy(), *arrays)
             out.append(pd.DataFrame({"date_": dates[k], "code": wide[0].columns, name: np.asarray(value, float)}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"date_": [], "code": [], name: []})
+        return pd.concat(out, ignore_index=True) if out else part.iloc[:0][["date_", "code"]].assign(**{name: np.zeros(0)})
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     found = dealt.groupBy("chunk").applyInPandas(run, f"date_ {kinds['date_']}, code {kinds['code']}, {name} double")

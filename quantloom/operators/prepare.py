@@ -126,22 +126,38 @@ def bin_supervised(df: DataFrame, column: str, target: str, most: int = 5, least
     return df.withColumn("bin", F.when(F.col(column).isNotNull(), place))
 
 
+def natural_breaks(x: np.ndarray, bins: int) -> np.ndarray:
+    """Labels 0 to bins - 1 of sorted distinct values with weights 1, that make the sum of squares inside the bins least (exactly, by dynamic programming)."""
+    n = len(x)
+    s, q = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(x * x)])
+    best = np.full(n + 1, np.inf)
+    best[0] = 0.0
+    cuts = []
+    for _ in range(min(bins, n)):
+        new, cut = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+        for j in range(1, n + 1):
+            i = np.arange(j)
+            cost = best[:j] + q[j] - q[i] - (s[j] - s[i]) ** 2 / (j - i)
+            cut[j] = int(cost.argmin())
+            new[j] = cost[cut[j]]
+        best = new
+        cuts.append(cut)
+    labels, j = np.zeros(n, int), n
+    for k in range(len(cuts) - 1, -1, -1):
+        labels[cuts[k][j] : j] = k
+        j = cuts[k][j]
+    return labels
+
+
 def bin_kmeans(df: DataFrame, column: str, bins: int = 5, by: str = "date_") -> DataFrame:
-    """Bins of a date's values around means: Lloyd's algorithm from the quantiles, one date per group."""
+    """Bins of a date's values with least squares inside, one date per group."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         x = part[column].to_numpy(float)
-        some = np.isfinite(x)
+        some = np.flatnonzero(np.isfinite(x))
         out = np.full(len(x), np.nan)
-        if some.any():
-            centres = np.unique(np.quantile(x[some], (np.arange(bins) + 0.5) / bins))
-            for _ in range(100):
-                own = np.abs(x[some][:, None] - centres).argmin(1)
-                new = np.array([x[some][own == k].mean() if (own == k).any() else c for k, c in enumerate(centres)])
-                if np.allclose(new, centres):
-                    break
-                centres = new
-            out[some] = np.abs(x[some][:, None] - np.sort(centres)).argmin(1)
+        order = some[np.argsort(x[some], kind="stable")]
+        out[order] = natural_breaks(x[order], bins)
         return part.assign(bin=pd.array([None if np.isnan(v) else int(v) for v in out], dtype="Int32"))
 
     from pyspark.sql import types as T

@@ -63,8 +63,9 @@ def spread_of_window(today, codes, close):
 
 @query(
     f"""WITH d AS (SELECT date_, row_number() OVER (ORDER BY date_) AS k FROM (SELECT DISTINCT date_ FROM ({MONTHLY_SQL}))), p AS (SELECT m.code, d.k, m.close FROM ({MONTHLY_SQL}) m JOIN d USING (date_)),
-        c AS (SELECT DISTINCT code FROM p), g AS (SELECT c.code, d.k, d.date_ FROM c, d), w AS (SELECT g.code, g.date_, g.k, max(p.close) - min(p.close) AS own FROM g LEFT JOIN p ON p.code = g.code AND p.k BETWEEN g.k - 4 AND g.k GROUP BY ALL)
-        SELECT m.date_, m.code, CASE WHEN w.k >= 5 THEN w.own - avg(w.own) OVER (PARTITION BY w.date_) END AS spread FROM w JOIN ({MONTHLY_SQL}) m ON m.date_ = w.date_ AND m.code = w.code""",
+        c AS (SELECT DISTINCT code FROM p), g AS (SELECT c.code, d.k, d.date_ FROM c, d), v AS (SELECT g.code, g.date_, g.k, max(p.close) - min(p.close) AS own FROM g LEFT JOIN p ON p.code = g.code AND p.k BETWEEN g.k - 4 AND g.k GROUP BY ALL),
+        w AS (SELECT *, own - avg(own) OVER (PARTITION BY date_) AS spread FROM v)
+        SELECT m.date_, m.code, CASE WHEN w.k >= 5 THEN w.spread END AS spread FROM w JOIN ({MONTHLY_SQL}) m ON m.date_ = w.date_ AND m.code = w.code""",
     ("spread",),
 )
 def pipeline_custom(spark, sf_dir):
