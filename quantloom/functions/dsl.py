@@ -487,7 +487,7 @@ def function(name: str, args: list) -> Expr:
         return call("cs_scale", args[0], *(float(a) for a in args[1:]))
     if name == "sma" and len(args) == 3:
         return Expr("ewm_mean", (args[0],), weight=args[2] / args[1])
-    if name in ("bigger", "smaller", "where"):
+    if name in ("bigger", "smaller", "where", "mask", "replace", "fillna", "clip", "clip_lower", "clip_upper"):  # their numbers are values
         return call(name, *args)
     if name in ("signedpower",):
         return Expr("signed_power", (args[0], args[1]))

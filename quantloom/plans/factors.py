@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.functions import alpha101, dsl, gtja191, mined
+from quantloom.functions import alpha101, dsl, gtja191, mined, signals
 from quantloom.functions.dsl import call, col, parse
 from quantloom.functions.expr import Expr, Frame, lower
 from quantloom.functions.render import render
 from quantloom.plans import panels
 
-PANELS = {"daily": (panels.daily, panels.DAILY_SQL), "monthly": (panels.monthly, panels.MONTHLY_SQL), "indexed": (panels.indexed, panels.INDEXED_SQL), "flows": (panels.flows, panels.FLOWS_SQL)}
+PANELS = {"daily": (panels.daily, panels.DAILY_SQL), "monthly": (panels.monthly, panels.MONTHLY_SQL), "indexed": (panels.indexed, panels.INDEXED_SQL), "flows": (panels.flows, panels.FLOWS_SQL), "accounts": (panels.accounts, panels.ACCOUNTS_SQL)}
 
 
 def shown(x):
@@ -29,7 +29,7 @@ def shown_sql(x: str) -> str:
 
 def plan(panel: str, factors: dict[str, Expr]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        frame = Frame() if panel == "monthly" else Frame(classes=panels.CLASSES)
+        frame = Frame() if panel in ("monthly", "accounts") else Frame(classes=panels.CLASSES)
         out = lower(PANELS[panel][0](spark, sf_dir), factors, frame)
         return out.select("date_", "code", *(shown(F.col(n)).alias(n) for n in factors))
 
@@ -101,6 +101,9 @@ def alpha_queries() -> dict[str, tuple[str, dict[str, Expr]]]:
     # several formulas a query: what they share is planned once
     for at in range(0, len(mined.names()), 8):
         out[f"mined_{at // 8 + 1:02d}"] = ("flows", {n: mined.factor(n) for n in mined.names()[at : at + 8]})
+    listed = list(signals.FORMULAS)
+    for at in range(0, len(listed), 10):
+        out[f"signals_{at // 10 + 1:02d}"] = ("accounts", {n: signals.signal(n) for n in listed[at : at + 10]})
     for at in range(0, len(own), 6):
         some = own[at : at + 6]
         out[f"gtja191_{some[0]:03d}_{some[-1]:03d}"] = ("daily", {f"alpha_{n}": gtja191.alpha(n) for n in some})

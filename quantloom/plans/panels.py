@@ -81,6 +81,23 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FLOWS_SQL = f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in FLOWS.items())} FROM ({DAILY_SQL})"
+#: Columns of a panel of accounts, made of monthly bars: name and its expression in both engines. Some have gaps.
+ACCOUNTS = {
+    "market": "cap", "assets": "(open + high + low + close) * 10", "liabilities": "(high + low) * 8", "equity": "(close + open) * 6 - high * 2", "all_equity": "(close + open) * 6", "current_assets": "(open + close) * 7",
+    "current_debts": "(low + close) * 3", "cash": "low * 2 + volume", "short_debt": "open * 0.7", "long_debt": "(open + high) * 2", "inventory": "close * 1.5 + volume", "receivables": "high * 1.3", "plant": "(high + close) * 4", "plant_net": "(high + close) * 3 - low",
+    "sales": "(open + volume) * 9", "costs": "(low + volume) * 5", "overhead": "close + volume * 2", "interest": "open * 0.2", "income": "close * 2 - open", "net_income": "close * 2 - open * 1.1", "operating_income": "close * 3 - low", "depreciation": "high * 0.4", "tax": "close * 0.3",
+    "tax_payable": "CASE WHEN close > open THEN close * 0.1 END", "deferred_tax": "CASE WHEN close > open THEN low * 0.2 END", "preferred": "CASE WHEN high > open * 2 THEN open * 0.1 ELSE 0 END", "capex": "(high - low) + open", "research": "CASE WHEN close > low THEN volume * 11 + close END",
+    "advertising": "CASE WHEN high > close THEN volume * 3 + 1 END", "employees": "volume + open / 1000", "dividends": "low * 0.3", "buybacks": "(high - close) * 0.5", "issues": "(close - low) * 0.4", "debt_issues": "CASE WHEN close > open THEN open * 0.9 ELSE 0 END", "debt_paid": "low * 0.6",
+    "operating_cash": "CASE WHEN volume > 1500 THEN close * 2 - low END", "long_investments": "open * 0.8 + volume", "short_investments": "CASE WHEN low < open THEN low * 0.5 END", "minority": "CASE WHEN close > open THEN volume END", "intangibles": "volume * 4", "deferred_revenue": "open * 0.15 + volume", "backlog": "CASE WHEN open > close THEN high ELSE 0 END",
+    "payables": "low * 1.2 + volume", "securities": "CASE WHEN close > open THEN low * 0.1 ELSE 0 END", "price": "close / 1000", "shares": "volume + 1000", "traded": "volume * 3", "short_interest": "volume * 0.1 + 5", "estimate": "(open + close) / 2000", "estimate_spread": "(high - low) / 3000", "actual": "(high + low) / 2100",
+    "growth_forecast": "(close - low) / 500 + 1", "dividend": "CASE WHEN close > open * 1.5 THEN low / 50000 ELSE 0 END", "high_price": "high / 1000", "income_q": "close - open * 0.6", "assets_q": "(open + close) * 20", "equity_q": "(close + low) * 6", "sales_q": "(open + volume) * 2", "cash_q": "low + volume", "tax_q": "close * 0.08",
+}
+
+
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monthly(spark, sf_dir).selectExpr("date_", "code", "industry", "ret", *(f"CAST({e} AS DOUBLE) AS {n}" for n, e in ACCOUNTS.items()))
+
+
 INDEXED_SQL = f"SELECT *, avg(open) OVER (PARTITION BY date_) AS index_open, avg(close) OVER (PARTITION BY date_) AS index_close FROM ({DAILY_SQL})"
 
 
@@ -102,3 +119,4 @@ MONTHLY_SQL = """
           FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
           GROUP BY CAST(c_nationkey AS INTEGER), CAST(date_trunc('month', o_orderdate) AS DATE))
 """
+ACCOUNTS_SQL = f"SELECT date_, code, industry, ret, {', '.join(f'CAST({e} AS DOUBLE) AS {n}' for n, e in ACCOUNTS.items())} FROM ({MONTHLY_SQL})"
