@@ -25,14 +25,17 @@ def merge_by_keys(frames: dict[str, DataFrame], keys: Sequence[str], how: str =
 def dense(df: DataFrame, date: str = "date_", code: str = "code") -> DataFrame:
     """All dates by all codes, with the frame's values where it has some.
 
-    The base grows as dates x codes, which is the dense panel asked for; codes
-    are joined by key below it, and never all rows with all rows.
+    The base is the product of both axes, and that is what a dense panel is: a cross join of the distinct codes with
+    the distinct dates, a row per day, which are broadcast up to MOST_DATES.
     """
     dates, codes = df.select(date).distinct(), df.select(code).distinct()
-    # every code from a set of codes per date: an exploded list of dates, no cross join
-    listed = dates.agg(F.sort_array(F.collect_set(date)).alias("__d"))
-    base = codes.withColumn("__one", F.lit(1)).join(listed.withColumn("__one", F.lit(1)), "__one").select(code, F.explode("__d").alias(date))
-    return base.join(df, [date, code], "left")
+    if dates.count() <= MOST_DATES:
+        dates = F.broadcast(dates)
+    return codes.crossJoin(dates).join(df, [date, code], "left")
+
+
+#: Dates that are broadcast (of 8 bytes each).
+MOST_DATES = 100_000
 
 
 def sessions(df: DataFrame, date: str = "date_") -> DataFrame:
@@ -51,12 +54,15 @@ def lag_sessions(df: DataFrame, calendar: DataFrame, n: int, date: str = "date_"
 def snap(df: DataFrame, calendar: DataFrame, date: str = "date_") -> DataFrame:
     """The number ``k`` of the first session on or after each row's date; rows after the last session go.
 
-    Events and sessions are merged in one sorted pass over the distinct dates; no range join.
+    Sessions are days. Only the distinct days of the events are merged with them, in one sorted pass: at most a row per
+    day, however many events or times of day there are. No range join.
     """
-    days = df.select(date).distinct()
-    both = days.join(calendar, date, "full")
-    ahead = both.select(date, F.first("k", True).over(Window.orderBy(date).rowsBetween(0, Window.unboundedFollowing)).alias("k"))
-    return df.join(ahead.where("k is not null"), date)
+    kind = df.schema[date].dataType
+    days = df.select(F.to_date(date).alias("__day")).distinct()
+    both = days.join(calendar.select(F.to_date(date).alias("__day"), "k"), "__day", "full")
+    ahead = both.select("__day", F.first("k", True).over(Window.orderBy("__day").rowsBetween(0, Window.unboundedFollowing)).alias("k")).where("k is not null")
+    out = df.withColumn("__day", F.to_date(date)).join(F.broadcast(ahead), "__day").drop("__day")  # a row per day
+    return out.withColumn(date, F.col(date).cast(kind))
 
 
 def asof(panel: DataFrame, events: DataFrame, values: Sequence[str], *, lag: int = 0, date: str = "date_", code: str = "code", order: Sequence[str] = ()) -> DataFrame:

@@ -38,18 +38,30 @@ def trades(weights: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     from quantloom.operators.align import sessions
 
     calendar = sessions(dates if dates is not None else weights)
-    held = weights.join(calendar, "date_").select("k", "code", "weight")
-    before = held.select((F.col("k") + 1).alias("k"), "code", F.col("weight").alias("old"))
-    both = held.join(before, ["k", "code"], "full").join(calendar, "k")
-    return both.select("date_", "code", (F.coalesce("weight", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))).alias("trade"))
+    turned = _turned(weights.withColumn("__r", F.lit(0.0)), calendar)
+    return turned.join(F.broadcast(calendar), "k").select("date_", "code", "trade")  # a row per rebalance
+
+
+def _turned(rows: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(k, code, trade, gross): what is held at a rebalance less what was held at the one before, in one aggregation.
+
+    Every weight counts at its own rebalance, and is taken off at the next.
+    """
+    own = F.struct(F.col("k").alias("k"), F.col("weight").alias("w"), (F.col("weight") * F.coalesce("__r", F.lit(0.0))).alias("g"))
+    after = F.struct((F.col("k") + 1).alias("k"), (-F.col("weight")).alias("w"), F.lit(0.0).alias("g"))
+    both = rows.join(F.broadcast(calendar), "date_").select("code", F.explode(F.array(own, after)).alias("x"))
+    return both.groupBy("x.k", "code").agg(F.sum("x.w").alias("trade"), F.sum("x.g").alias("gross"))
 
 
 def backtest(weights: DataFrame, returns: DataFrame, column: str, cost: float = 0.0) -> DataFrame:
     """Per rebalance: gross return of the held codes over the next period, turnover, net return, equity."""
-    gross = weights.join(returns, ["date_", "code"], "left").groupBy("date_").agg(F.sum(F.col("weight") * F.coalesce(column, F.lit(0.0))).alias("gross"))
-    turned = trades(weights).groupBy("date_").agg(F.sum(F.abs("trade")).alias("turnover"))
-    net = gross.join(turned, "date_").withColumn("net", F.col("gross") - cost * F.col("turnover"))
-    curve = F.exp(F.sum(F.log1p("net")).over(Window.orderBy("date_").rowsBetween(Window.unboundedPreceding, 0)))  # one row per rebalance date
+    from quantloom.operators.align import sessions
+
+    calendar = sessions(weights)
+    rows = weights.join(returns.select("date_", "code", F.col(column).alias("__r")), ["date_", "code"], "left")
+    net = _turned(rows, calendar).groupBy("k").agg(F.sum("gross").alias("gross"), F.sum(F.abs("trade")).alias("turnover"))
+    net = net.join(F.broadcast(calendar), "k").withColumn("net", F.col("gross") - cost * F.col("turnover")).drop("k")
+    curve = F.exp(F.sum(F.log1p(F.when(F.col("net") > -1, F.col("net")))).over(Window.orderBy("date_").rowsBetween(Window.unboundedPreceding, 0)))  # one row per rebalance date
     return net.withColumn("equity", F.when(F.col("net") > -1, curve))
 
 

@@ -37,6 +37,15 @@ def long_factor(df: DataFrame, value: str, date: str = "date_", code: str = "cod
     return out.where("value is not null and code is not null and date_ is not null")
 
 
+#: Files of a month at most, by codes.
+MONTH_FILES = 8
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt by month and a part of the codes, so that a large month is written by several tasks."""
+    return df.repartition("month", F.pmod(F.xxhash64("code"), F.lit(MONTH_FILES)))
+
+
 class Store:
     """Datasets below a root folder that Spark can read and write."""
 
@@ -53,7 +62,7 @@ class Store:
         path = spec.path(self.root)
         if self._exists(path) and not force:
             raise FileExistsError(path)
-        df.withColumn("month", F.date_format("date_", "yyyy-MM")).repartition("month").write.mode("overwrite").partitionBy("month").parquet(path)
+        dealt(df.withColumn("month", F.date_format("date_", "yyyy-MM"))).write.mode("overwrite").partitionBy("month").parquet(path)
 
     def upsert(self, spec: DatasetSpec, df: DataFrame) -> None:
         """Merge rows by (code, date_): the last value that is there wins, column by column.
@@ -72,7 +81,7 @@ class Store:
         merged = last.select("code", "date_", *values, "month")
         # the months are written beside the dataset first: a partition can't be read and replaced in one go
         staged = f"{path}__staged"
-        merged.write.mode("overwrite").partitionBy("month").parquet(staged)
+        dealt(merged).write.mode("overwrite").partitionBy("month").parquet(staged)
         fresh = self.spark.read.schema(merged.schema).parquet(staged)
         fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
         where = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
