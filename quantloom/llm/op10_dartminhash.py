@@ -13,10 +13,10 @@ shingles and their weights the times that it has them.
 Join. Coordinates make up bands of R; documents with an equal band share a bucket.
 With 24 bands of 4, a pair of likeness 0.8 shares none with a probability of 4e-6.
 
-Links. Texts that are equal are one class from the start. In every bucket the earliest
-text is checked against all others, by the exact weighted Jaccard likeness of their shingle
+Links. Texts that are equal are one class from the start. In every bucket the text that shares
+buckets with most others is checked against all others of the bucket, by the exact weighted Jaccard likeness of their shingle
 counts (the n-th time of a shingle is an element of its own): one pair per member, however large the bucket. Buckets that hold several components
-then may hold links between others than the earliest. Their texts go through a join on the
+then may hold links between others than that one. Their texts go through a join on the
 rare ends of their shingle sets, which finds all pairs of the likeness and rules most
 others out without making them; only pairs of different components are made and checked.
 
@@ -45,6 +45,8 @@ BANDS, R = 24, 4
 SPARE = 3.0
 #: Rows up to which a table of digests and labels is broadcast (at most 60 bytes each); beyond it a join shuffles.
 BROADCAST_ROWS = 300_000
+#: Words of 64 bits in a set's bitmap.
+MAP = 32
 
 
 def signatures(elements: np.ndarray, ptr: np.ndarray, t: int = BANDS * R, weights: np.ndarray | None = None, seed: int = 1) -> np.ndarray:
@@ -177,8 +179,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batch, "text"):
             hashes, first = word_shingles(piece.column("text"))
             elements, times, _ = counted(hashes, first)
-            values = numbered(elements, times).view(np.int64)
-            yield pa.RecordBatch.from_arrays([piece.column("h"), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, pa.int64()))], ["h", "s"])
+            values = numbered(elements, times)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(piece.num_rows + 1) * MAP, pa.int32()), pa.array(bitmaps(values, first).reshape(-1).view(np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays([piece.column("h"), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64), pa.int64())), bits], ["h", "s", "bits"])
+
+
+def bitmaps(elements: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """MAP words of 64 bits per set; each element sets one bit.
+
+    A bit that one of two maps has alone stands for an element that this set has alone, so the number of such bits
+    is never above the number of elements in which the sets differ.
+    """
+    out = np.zeros((len(ptr) - 1, MAP * 64), bool)
+    out[np.repeat(np.arange(len(ptr) - 1), np.diff(ptr)), (elements % np.uint64(MAP * 64)).astype(np.int64)] = True
+    return np.packbits(out, axis=1, bitorder="little").view("<u8").astype(np.uint64)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -208,11 +222,12 @@ def _small(df: DataFrame) -> DataFrame:
 
 def _components(docs: DataFrame, members: DataFrame, likeness: float) -> DataFrame:
     """(h, c): the component of every text that shares a bucket; c is the smallest h of the component."""
-    firsts = stored(members.groupBy("h").agg(F.min("first").alias("first")))
-    sets = _sets_of(docs, firsts)
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    firsts = stored(members.join(sizes, "key").groupBy("h").agg(F.min("first").alias("first"), F.sum("size").alias("company")))
+    sets = _sets_of(docs, firsts.select("h", "first"))
     component = stored(sets.select("h", F.col("h").alias("c"), F.size("s").alias("n")))
-    # one pair per bucket and member: with the earliest text
-    hubs = members.groupBy("key").agg(F.min(F.struct("first", "h")).alias("hub")).select("key", F.col("hub.h").alias("hub"))
+    # one pair per bucket and member: with the text that meets most others, which of edited copies is one with few edits
+    hubs = members.select("key", "h").join(_small(firsts.select("h", "company")), "h").groupBy("key").agg(F.max(F.struct("company", "h")).alias("hub")).select("key", F.col("hub.h").alias("hub"))
     stars = members.join(hubs, "key").where(F.col("h") != F.col("hub")).select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b")).distinct()
     component = _joined_up(component, stored(_alike(stars, sets, likeness)))
     # buckets of several components may hold links yet
@@ -229,29 +244,32 @@ def _prefix_pairs(rows: DataFrame, likeness: float) -> DataFrame:
     Two sets of this likeness have a common element among the first few of both, in any
     fixed order. Rare elements come first here: what is edited in a copy is its own, so
     the first elements of a copy that differs too much meet nobody. Elements that one
-    set alone has are counted, and not joined. A first common element must leave enough elements after it.
+    set alone has are counted, and not joined. A first common element must leave enough elements after it,
+    and the sets' bitmaps must not differ in more bits than the sets may differ in elements.
     """
     elements = rows.select("h", F.explode("s").alias("e"))
     common = elements.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
     ordered = elements.join(common, "e").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("list"))  # of one text each
     own = F.col("n") - F.size("list")
     first = (F.col("n") - F.ceil(F.col("n") * likeness - 1e-6) + 1).cast("int")
-    some = ordered.join(rows.select("h", "c", "n"), "h").where(first > own)
-    probes = some.select("h", "c", "n", own.alias("own"), F.posexplode(F.slice("list", F.lit(1), first - own)).alias("i", "x")).select("h", "c", "n", F.col("x.e").alias("e"), (F.col("n") - F.col("own") - F.col("i")).alias("left"))
+    some = ordered.join(rows.select("h", "c", "n", "bits"), "h").where(first > own)
+    probes = some.select("h", "c", "n", "bits", own.alias("own"), F.posexplode(F.slice("list", F.lit(1), first - own)).alias("i", "x")).select("h", "c", "n", "bits", F.col("x.e").alias("e"), (F.col("n") - F.col("own") - F.col("i")).alias("left"))
     probes = stored(probes)
-    a = probes.select(F.col("h").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("left").alias("la"), "e")
-    b = probes.select(F.col("h").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("left").alias("lb"), "e")
+    a = probes.select(F.col("h").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("bits").alias("ba"), "e")
+    b = probes.select(F.col("h").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("bits").alias("bb"), "e")
     enough = F.least("la", "lb") >= (F.col("na") + F.col("nb")) * (likeness / (1 + likeness)) - 1e-6
+    apart = sum((F.bit_count(F.get("ba", F.lit(i)).bitwiseXOR(F.get("bb", F.lit(i)))) for i in range(MAP)), F.lit(0))
+    enough &= apart <= (F.col("na") + F.col("nb")) * ((1 - likeness) / (1 + likeness)) + 1e-6
     alike = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * likeness - 1e-6) & enough
     return a.join(b, "e").where(alike).select("a", "b").distinct()
 
 
 def _sets_of(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(h, s): the shingle sets of texts, each taken from the row with the smallest doc_id."""
+    """(h, s, bits): the shingle sets of texts and their bitmaps, each taken from the row with the smallest doc_id."""
     own = F.struct(F.col("doc_id").isNull(), "doc_id")
     wanted = _small(firsts.select("h", F.struct(F.col("first").isNull(), F.col("first").alias("doc_id")).alias("at")))
     some = _texts(docs).withColumn("at", own).join(wanted, ["h", "at"], "left_semi").select("h", "text")
-    return stored(some.mapInArrow(_sets, "h binary, s array<long>").groupBy("h").agg(F.first("s").alias("s")))
+    return stored(some.mapInArrow(_sets, "h binary, s array<long>, bits array<long>").groupBy("h").agg(F.first("s").alias("s"), F.first("bits").alias("bits")))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
