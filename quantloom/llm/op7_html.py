@@ -12,7 +12,8 @@ on most pages says nothing about one page:
 
 The base is SMALL at least, so that a few pages are weak evidence and one page is none. Branches whose
 importance, and that of all their blocks, is below LOW are removed from every page, first of all;
-inside what a page marks as its article the bound is the lower LOW_INSIDE, as passages repeat there by right.
+inside what a page marks as its article the bound is LOW_INSIDE, which only what stands on all but a few
+articles of a host (more than m**0.98 of m) falls below, as passages repeat there by right.
 Only then do meanings count, for what the tree can't know (branches that stand on few
 pages): tags, roles and class names of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 comments of readers. A class name counts only if all of its words say so (``share-buttons``, not ``share-price``). If a
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import stored
 
 #: Below this a branch of the tree is noise, outside and inside of the marked article; a branch's depth of children weighs g.
-LOW, LOW_INSIDE, G = 0.5, 0.2, 0.9
+LOW, LOW_INSIDE, G = 0.5, 0.02, 0.9
 #: Least base of the entropies.
 SMALL = 8
 
