@@ -38,7 +38,7 @@ WINDOW = 13
 #: A document is contaminated if one in so many of its words is hit.
 SHARE = 20
 #: Text bytes of the benchmark that are searched for at once; a larger benchmark is searched in blocks.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 #: Text bytes of a segment of the index (or one document).
 SEGMENT_BYTES = 4 << 20
 
