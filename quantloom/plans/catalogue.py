@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.plans import books, factors, frontends, research, returns, scoring, studies  # noqa: F401  the modules register their queries
+from quantloom.plans import books, factors, frontends, months, research, returns, scoring, studies  # noqa: F401  the modules register their queries
 
 FLAGSHIP = "factor_momentum_rank"
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -88,8 +88,8 @@ class Store:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
         return None
 
-    def read(self, spec: DatasetSpec, *, start: str | None = None, end: str | None = None, codes: Sequence[str] | None = None, low: float | None = None, high: float | None = None, columns: Sequence[str] | None = None) -> DataFrame:
-        """Rows of a range of dates; months are pruned, the rest is pushed into the scan."""
+    def read(self, spec: DatasetSpec, *, start: str | None = None, end: str | None = None, codes: Sequence[str] | None = None, low: float | None = None, high: float | None = None, columns: Sequence[str] | None = None, filters: Sequence[Callable[[DataFrame], Column]] = ()) -> DataFrame:
+        """Rows of a range of dates that pass all filters; months are pruned, the rest is pushed into the scan."""
         df = self.spark.read.parquet(spec.path(self.root))
         tests: list[Column] = []
         if start:
@@ -102,6 +102,7 @@ class Store:
             tests.append(F.col("value") >= low)
         if high is not None:
             tests.append(F.col("value") <= high)
+        tests += [f(df) for f in filters]
         df = reduce(lambda d, t: d.where(t), tests, df)
         return df.select(*(columns or [c for c in df.columns if c != "month"]))
 
@@ -110,6 +111,28 @@ class Store:
         frames = [self.read(s, **where).select("code", "date_", F.col("value").alias(name)) for name, s in specs.items()]
         return reduce(lambda a, b: a.join(b, ["code", "date_"], how), frames)
 
+    def move(self, old: DatasetSpec, new: DatasetSpec) -> None:
+        """Give a dataset another identity; a rename within one file system."""
+        jvm = self.spark._jvm
+        source, target = (jvm.org.apache.hadoop.fs.Path(s.path(self.root)) for s in (old, new))
+        fs = source.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(target):
+            raise FileExistsError(str(target))
+        fs.mkdirs(target.getParent())
+        if not fs.rename(source, target):
+            raise OSError(f"{source} could not be moved to {target}")
+
+    def section(self, factor: str, name: str) -> str:
+        """Folder of one section of a factor's evaluation."""
+        clean = lambda x: re.sub(r"[^a-z0-9_]+", "_", x.strip().lower())
+        return f"{self.root.rstrip('/')}/evaluation/{clean(factor)}/{clean(name)}"
+
+    def write_section(self, factor: str, name: str, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(self.section(factor, name))
+
+    def read_section(self, factor: str, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.section(factor, name))
+
     def manifest(self, spec: DatasetSpec) -> dict:
         df = self.spark.read.parquet(spec.path(self.root))
         row = df.agg(F.count("*").alias("rows"), F.min("date_").alias("start"), F.max("date_").alias("end"), F.count_distinct("code").alias("codes"), F.count_distinct("month").alias("files")).first()
@@ -130,3 +153,9 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
     """Names of a list file, one a line; what follows # is a comment."""
     line = F.trim(F.regexp_replace("value", "#.*$", ""))
     return spark.read.text(path).select(F.regexp_extract(line, r"^[^,]*", 0).alias("name")).where("name <> ''")
+
+
+def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """One file of a table that is a report: as CSV with names, or a line of JSON per row."""
+    out = df.coalesce(1).write.mode("overwrite")
+    out.option("header", "true").csv(path) if kind == "csv" else out.json(path)
