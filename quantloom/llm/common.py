@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +52,48 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What operators keep in a Python worker from task to task, by operator: functions that forget it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def kept_by(name: str, forget: Callable[[], None]) -> None:
+    _KEPT[name] = forget
+
+
+def release() -> None:
+    """Give unused memory of this worker back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library: it frees in its own way
+
+
+def begin(name: str) -> None:
+    """An operator starts in this worker: what others keep goes. Workers serve one stage after the other."""
+    for other, forget in _KEPT.items():
+        if other != name:
+            forget()
+
+
+def tidy(name: str):
+    """A function over batches that starts without what other operators keep, and leaves no unused memory behind."""
+
+    def wrap(run):
+        @functools.wraps(run)
+        def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begin(name)
+            try:
+                yield from run(batches)
+            finally:
+                release()
+
+        return tidied
+
+    return wrap
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as no column of ``df`` has."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import LOWER, WORD, joined, mix, pieces, runs, shingles, span_hashes, stored, text_bytes, unused
+from quantloom.llm.common import LOWER, WORD, joined, mix, pieces, runs, shingles, span_hashes, stored, text_bytes, tidy, unused
 
 WORDS, LIKENESS = 5, 0.8
 #: Bands, and coordinates in a band.
@@ -160,6 +160,7 @@ def numbered(elements: np.ndarray, times: np.ndarray) -> np.ndarray:
     return out
 
 
+@tidy("op10_dartminhash")
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, "text"):
@@ -174,6 +175,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@tidy("op10_dartminhash")
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, "text"):

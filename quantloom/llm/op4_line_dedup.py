@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import DARK, byte_set, mix, pieces, runs, span_hashes, stored, text_bytes, unused
+from quantloom.llm.common import DARK, byte_set, mix, pieces, runs, span_hashes, stored, text_bytes, tidy, unused
 
 #: Words in the smallest block that is deleted.
 MIN_WORDS = 10
@@ -234,6 +234,7 @@ def repeated(later: list[int], words: list[int], earlier: list[int], min_words:
     return [x for i, _, n in _grown(whole, later, earlier) for x in range(i, i + n)]
 
 
+@tidy("op4_line_dedup")
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, "text"):
@@ -252,6 +253,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@tidy("op4_line_dedup")
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [repeated(x, w, y) for x, w, y in zip(*(batch.column(c).to_pylist() for c in ("lines", "words", "first_lines")), strict=True)]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import text_bytes
+from quantloom.llm.common import begin, release, text_bytes
 
 #: Bytes between chunk starts; a chunk is two steps long.
 STEP = 8
@@ -177,12 +177,14 @@ def scorer(net: Network | float):
     def score(texts: pa.Array) -> pa.Array:
         if isinstance(net, float):
             return pa.array(np.full(len(texts), net))
+        begin("op5_quality")
         out, at = [], 0
         lengths = np.diff(text_bytes(texts)[1])
         while at < len(texts):  # a few texts at a time
             to = at + max(1, int(np.searchsorted(np.cumsum(lengths[at:]), 1 << 21, "right")))
             out.append(net.score(*text_bytes(texts.slice(at, to - at))))
             at = to
+        release()
         return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return score

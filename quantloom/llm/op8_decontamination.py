@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import LOWER, WORD, pieces, runs, span_hashes, stored, text_bytes, unused
+from quantloom.llm.common import LOWER, WORD, pieces, runs, span_hashes, stored, text_bytes, tidy, unused
 
 #: Words in a window.
 WINDOW = 13
@@ -55,6 +55,7 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary: np.ndarray | None = None) -> DataFrame:
     """Segments of the index; with ``vocabulary``, a sorted array of term hashes, of those terms only."""
 
+    @tidy("op8_decontamination")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text", SEGMENT_BYTES):
@@ -206,6 +207,7 @@ def search_segment(segment: Segment, block: Windows) -> pa.RecordBatch:
 def _search(index: DataFrame, block: Windows) -> DataFrame:
     shared = index.sparkSession.sparkContext.broadcast(block)  # windows of at most BLOCK_BYTES of text
 
+    @tidy("op8_decontamination")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -214,6 +216,7 @@ def _search(index: DataFrame, block: Windows) -> DataFrame:
     return index.mapInArrow(run, HITS)
 
 
+@tidy("op8_decontamination")
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Results of documents from the lists of spans and items of all blocks."""
     for batch in batches:
@@ -289,6 +292,7 @@ def _find(index: DataFrame, phrases: list[str], span: int | None) -> DataFrame:
     terms, first = words(pa.array(phrases, pa.large_string()))
     lists = [terms[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
+    @tidy("op8_decontamination")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

@@ -36,12 +36,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quantloom.llm.common import joined, pieces, spread, text_bytes
+from quantloom.llm.common import joined, kept_by, pieces, spread, text_bytes, tidy
 
 #: Pretokens in each of the memo's two generations, and their most bytes; what a full generation doesn't use goes with the next.
 MEMO, MEMO_BYTES = 120_000, 256
 #: Pairs of tokens whose stability a worker remembers.
-PAIRS = 500_000
+PAIRS = 250_000
 #: Ids that are decoded at a time.
 DECODED = 1 << 16
 
@@ -423,6 +423,14 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(load(path))
 
 
+def _forget() -> None:
+    load.cache_clear()
+    encoder_of.cache_clear()
+
+
+kept_by("op9_bpe", _forget)
+
+
 def encode_text(text: str, encoder: Encoder) -> list[int]:
     """Token ids of one text."""
     raw = np.frombuffer(text.encode(), np.uint8)
@@ -449,6 +457,7 @@ def digests(batch: pa.RecordBatch, encoder: Encoder) -> pa.RecordBatch:
 def tokenize(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every text with the tokenizer file at ``tokenizer`` (a path on each executor) and decode it again."""
 
+    @tidy("op9_bpe")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
         for batch in batches:
@@ -461,6 +470,7 @@ def tokenize(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str
 def encode(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Token ids of every text as an array."""
 
+    @tidy("op9_bpe")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
         for batch in batches:
@@ -475,6 +485,7 @@ def encode(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str =
 def decode(tokens: DataFrame, tokenizer: str, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Texts of arrays of token ids (null: empty)."""
 
+    @tidy("op9_bpe")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Decoder(load(tokenizer))
         for batch in batches:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 
 from quantloom.llm import op1_warc, op2_licenses, op3_fingerprints, op4_line_dedup, op5_quality, op6_sharding, op7_html, op8_decontamination, op9_bpe, op10_dartminhash
-from quantloom.llm.common import mix, span_hashes
+from quantloom.llm.common import begin, mix, span_hashes, tidy
 from quantloom.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, h string, key int, c string, line string, own int, found int"
@@ -784,6 +784,16 @@ def test_bpe_collisions_of_polynomial_hashes(library):
             assert op9_bpe.encode_text(text, encoder) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_workers_forget_what_other_operators_keep():
+    path = tokenizer_path()
+    first = op9_bpe.encoder_of(path)
+    begin("op9_bpe")
+    assert op9_bpe.encoder_of(path) is first  # its own tasks share it
+    begin("op4_line_dedup")
+    assert op9_bpe.encoder_of(path) is not first
+    assert list(tidy("op9_bpe")(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3]
+
+
 def test_bpe_memo_starts_anew(library):
     encoder = op9_bpe.Encoder(op9_bpe.load(tokenizer_path()), memo=5)
     for seed in range(20):
