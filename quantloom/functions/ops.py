@@ -13,6 +13,8 @@ from quantloom.functions.expr import CROSS, GROUP, TIME, Frame, op
 MAD = 1.4826
 #: Below this share of the square of the size, a variance is rounding noise.
 FLAT = 1e-12
+#: Below this share of the size of what was subtracted, a residual is rounding noise.
+NOISE = 1e-12
 
 
 def finite(x: Column) -> Column:
@@ -629,12 +631,15 @@ def _cs_bottom(f, x, n):
 
 @op("cs_residual", CROSS)
 def _cs_residual(f, y, x):
-    """Residual of a line fitted across the codes of a date."""
+    """Residual of a line fitted across the codes of a date; 0 where the line meets the point but for rounding noise."""
     py, px = both(y, x)
     w = f.cross
     var = F.var_samp(px).over(w)
     slope = F.when(var > FLAT, F.covar_samp(py, px).over(w) / var).otherwise(F.lit(0.0))
-    return py - F.avg(py).over(w) - slope * (px - F.avg(px).over(w))
+    left = py - F.avg(py).over(w) - slope * (px - F.avg(px).over(w))
+    # two codes are always on their line: what is left of them would make an order by the order of rows
+    size = F.max(F.abs(py)).over(w) + F.abs(slope) * F.max(F.abs(px)).over(w)
+    return F.when(F.abs(left) < F.lit(NOISE) * size, F.lit(0.0)).otherwise(left)
 
 
 @op("cs_skew", CROSS)

@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from quantloom.functions import alpha101, dsl
+from quantloom.functions import alpha101, dsl, mined
 from quantloom.functions.dsl import call, col, parse
 from quantloom.functions.expr import OPS, lower, windowed
 from quantloom.functions.render import SQL
@@ -95,3 +95,27 @@ def test_all_formulas_parse():
 def test_methods_are_operators():
     assert repr(col("x").rank()) == repr(call("cs_rank", col("x")))
     assert repr(col("x").ts_mean(5)) == repr(dsl.call("sma", col("x"), 5))
+
+
+def test_codes_on_their_line_leave_no_residual_to_rank(spark):
+    # bars of two codes a date whose residuals came out as noise, in both orders
+    bars = [(212990.64, 1766.0, 16092.55, 1787.0), (52725.19, 1604.0, 441379.55, 1716.0), (68221.13, 757.0, 485200.62, 714.0), (374866.62, 454.0, 198829.51, 434.0), (422422.88, 814.0, 197193.61, 771.0)]
+    bars += [(c, d, a, b) for a, b, c, d in bars]
+    rows = [(dt.date(2024, 1, k), code, close, volume / 1000) for k, (a, b, c, d) in enumerate(bars, 1) for code, close, volume in (("A", a, b), ("B", c, d))]
+    panel = spark.createDataFrame(rows, "date_ date, code string, close double, turn_rate double")
+    left = values(panel, parse("cs_regression_residual(close, 1 / turn_rate)"))
+    assert set(left.values()) == {0.0} and len(left) == 20
+    assert set(values(panel, mined.factor("rank_normalize_log_regression_residual")).values()) == {0.0}
+
+
+def test_small_residuals_and_missing_sides_stay(spark):
+    inf = float("inf")
+    days = {1: ((1e5, 0.0), (1e5 + 2e-5, 1.0), (1e5, 2.0)), 2: ((1e5 + 0.1, 0.1), (1e5 + 0.3, 0.3), (1e5 + 0.7, 0.7)), 3: ((1.0, 1.0), (2.0, None), (5.0, 3.0)), 4: ((7.0, None), (8.0, 4.0), (None, 1.0)), 5: ((inf, 1.0), (2.0, 2.0), (3.0, 4.0)), 6: ((0.0, 1.0), (0.0, 2.0), (0.0, 3.0))}
+    rows = [(dt.date(2024, 1, d), code, *pair) for d, pairs in days.items() for code, pair in zip("ABC", pairs, strict=True)]
+    got = values(spark.createDataFrame(rows, "date_ date, code string, x double, y double"), call("cs_residual", col("x"), col("y")))
+    assert [got[c, 1] for c in "ABC"] == pytest.approx([-2e-5 / 3, 4e-5 / 3, -2e-5 / 3], rel=1e-4)
+    assert [got[c, 2] for c in "ABC"] == [0.0, 0.0, 0.0]
+    assert [got[c, 3] for c in "ABC"] == [0.0, None, 0.0]
+    assert [got[c, 4] for c in "ABC"] == [None, 0.0, None]
+    assert all(got[c, 5] != got[c, 5] for c in "ABC")
+    assert [got[c, 6] for c in "ABC"] == [0.0, 0.0, 0.0]
