@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Sequence
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -84,46 +86,68 @@ def target_encode(df: DataFrame, column: str, target: str, smoothing: float = 1.
     return df.join(table, column, "left")
 
 
-def merge_bins(counts: list[tuple[float, float, float]], most: int, least_chi: float) -> list[float]:
+def chi_square(g1: float, b1: float, g2: float, b2: float) -> float:
+    """Chi-square of two bins' rows without and with a 0/1 target."""
+    total, out = g1 + b1 + g2 + b2, 0.0
+    for have, row, col in ((g1, g1 + b1, g1 + g2), (b1, g1 + b1, b1 + b2), (g2, g2 + b2, g1 + g2), (b2, g2 + b2, b1 + b2)):
+        want = row * col / total if total else 0.0
+        out += (have - want) * (have - want) / want if want else 0.0
+    return out
+
+
+def merge_bins(counts: Sequence[tuple[float, float, float]] | np.ndarray, most: int, least_chi: float) -> list[float]:
     """Cut points after joining neighbours of the least chi-square, until at most ``most`` are left and all differ by ``least_chi``.
 
-    ``counts`` has (value, rows without the target, rows with it) in the order of the values.
+    ``counts`` has (value, rows without the target, rows with it) in the order of the values. Of equal pairs the first is joined.
     """
-    bins = [[v, v, g, b] for v, g, b in counts]
-
-    def chi(i: int) -> float:
-        (_, _, g1, b1), (_, _, g2, b2) = bins[i], bins[i + 1]
-        total, out = g1 + b1 + g2 + b2, 0.0
-        for have, row, col in ((g1, g1 + b1, g1 + g2), (b1, g1 + b1, b1 + b2), (g2, g2 + b2, g1 + g2), (b2, g2 + b2, b1 + b2)):
-            want = row * col / total if total else 0.0
-            out += (have - want) ** 2 / want if want else 0.0
-        return out
-
-    while len(bins) > 1:
-        value, i = min((chi(i), i) for i in range(len(bins) - 1))
-        if len(bins) <= most and value >= least_chi:
+    values, good, bad = (array("d", c) for c in np.asarray(counts, float).reshape(-1, 3).T)
+    n = left = len(values)
+    # a bin goes by the place of its first value, and a pair by its first bin
+    after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+    now = array("d", (chi_square(good[i], bad[i], good[i + 1], bad[i + 1]) for i in range(n - 1)))
+    heap = list(zip(now, range(n - 1), strict=True))
+    heapify(heap)
+    while heap:
+        value, i = heap[0]
+        if now[i] == value and left <= most and value >= least_chi:
             break
-        a, b = bins[i], bins.pop(i + 1)
-        bins[i] = [a[0], b[1], a[2] + b[2], a[3] + b[3]]
-    return [(a[1] + b[0]) / 2 for a, b in zip(bins, bins[1:], strict=False)]
-
-
-#: Distinct values that supervised bins are made from; more are first put into so many quantiles.
-MOST_VALUES = 2000
+        heappop(heap)
+        if now[i] != value:  # the pair has changed since
+            continue
+        j = after[i]
+        good[i], bad[i], after[i] = good[i] + good[j], bad[i] + bad[j], after[j]
+        left -= 1
+        if after[i] < n:
+            before[after[i]] = i
+            now[j] = np.nan
+        now[i] = np.nan
+        for k in (before[i], i):
+            if k >= 0 and after[k] < n:
+                now[k] = chi_square(good[k], bad[k], good[after[k]], bad[after[k]])
+                heappush(heap, (now[k], k))
+        if len(heap) > 2 * left + 1000:
+            heap = [(v, k) for k, v in enumerate(now) if v == v]
+            heapify(heap)
+    cuts, i = [], after[0] if n else 0
+    while i < n:
+        cuts.append((values[i - 1] + values[i]) / 2)
+        i = after[i]
+    return cuts
 
 
 def bin_supervised(df: DataFrame, column: str, target: str, most: int = 5, least_chi: float = 3.841) -> DataFrame:
-    """Bins of a value that tell a 0/1 target apart, by merging neighbours; counts per value are bounded and collected."""
-    rows = df.where(F.col(column).isNotNull() & F.col(target).isNotNull())
-    points = rows.stat.approxQuantile(column, [i / MOST_VALUES for i in range(1, MOST_VALUES)], 0.0) if rows.select(column).distinct().count() > MOST_VALUES else []
+    """Bins of a value that tell a 0/1 target apart, by merging neighbours.
+
+    The merging starts from every distinct value, and each step needs the least pair of all: three numbers per distinct value go to the driver.
+    """
     x = F.col(column)
-    if points:
-        edges = F.array(*map(F.lit, sorted(set(points))))
-        x = F.coalesce(F.element_at(F.filter(edges, lambda e: e >= x), 1), F.lit(max(points)))
-    counts = rows.groupBy(x.alias("v")).agg(F.sum(1 - F.col(target)).alias("g"), F.sum(target).alias("b")).orderBy("v").collect()  # at most MOST_VALUES rows
-    cuts = merge_bins([(r["v"], float(r["g"]), float(r["b"])) for r in counts], most, least_chi)
-    place = sum(((F.col(column) > c).cast("int") for c in cuts), F.lit(0))
-    return df.withColumn("bin", F.when(F.col(column).isNotNull(), place))
+    there = x.isNotNull() & ~F.isnan(x)
+    per_value = df.where(there & F.col(target).isNotNull()).groupBy(x.cast("double").alias("v")).agg(F.sum(1 - F.col(target)).cast("double").alias("g"), F.sum(target).cast("double").alias("b"))
+    held = per_value.toArrow()
+    counts = np.column_stack([held[c].to_numpy() for c in ("v", "g", "b")])
+    cuts = merge_bins(counts[counts[:, 0].argsort()], most, least_chi)
+    place = sum(((x > c).cast("int") for c in cuts), F.lit(0))
+    return df.withColumn("bin", F.when(there, place))
 
 
 def natural_breaks(x: np.ndarray, bins: int) -> np.ndarray:

@@ -175,6 +175,36 @@ def test_supervised_bins(spark):
     assert prepare.merge_bins([], 3, 3.8) == [] and prepare.merge_bins([(1.0, 3.0, 3.0), (2.0, 3.0, 3.0)], 5, 3.8) == []
 
 
+def test_supervised_bins_of_many_values(spark):
+    # cuts between any two of the values, the largest among the binned
+    rows = [(i / 100, int(i >= 4321)) for i in range(6000)] + [(None, 1), (float("nan"), 1), (1e9, None)]
+    got = [(r.x, r.bin) for r in prepare.bin_supervised(spark.createDataFrame(rows, "x double, y int"), "x", "y").collect()]
+    assert all(k == int(x >= 43.21) for x, k in got if x is not None and x == x)
+    assert [k for x, k in got if x is None or x != x] == [None, None]
+
+
+def test_merged_bins_are_those_of_a_plain_loop():
+    def plain(counts, most, least):
+        bins = [[v, v, g, b] for v, g, b in counts]
+        while len(bins) > 1:
+            value, i = min((prepare.chi_square(*p[2:], *q[2:]), i) for i, (p, q) in enumerate(zip(bins, bins[1:], strict=False)))
+            if len(bins) <= most and value >= least:
+                break
+            low, high = bins[i], bins.pop(i + 1)
+            bins[i] = [low[0], high[1], low[2] + high[2], low[3] + high[3]]
+        return [(p[1] + q[0]) / 2 for p, q in zip(bins, bins[1:], strict=False)]
+
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        counts = [(float(i), float(g), float(b)) for i, (g, b) in enumerate(r.integers(0, r.choice([2, 3, 50]), (r.integers(0, 40), 2)))]
+        for most, least in ((5, 3.841), (1, 3.8), (3, 0.0), (40, 2.0)):
+            assert prepare.merge_bins(counts, most, least) == plain(counts, most, least)
+    # so many that outdated pairs are cleared from the heap on the way
+    flags = r.random(1500) < 0.4
+    counts = [(float(i), float(not f), float(f)) for i, f in enumerate(flags)]
+    assert prepare.merge_bins(counts, 5, 3.841) == plain(counts, 5, 3.841)
+
+
 def test_bins_around_means(spark):
     rows = [(day(0), f"c{i}", x) for i, x in enumerate([1.0, 1.1, 0.9, 5.0, 5.1, 9.0, None])]
     got = {r.code: r.bin for r in prepare.bin_kmeans(spark.createDataFrame(rows, "date_ date, code string, x double"), "x", 3).collect()}
