@@ -15,6 +15,8 @@ MAD = 1.4826
 FLAT = 1e-12
 #: Below this share of the size of what was subtracted, a residual is rounding noise.
 NOISE = 1e-12
+#: Below this share of their size, two values of a window differ by rounding noise.
+APART = 1e-14
 
 
 def finite(x: Column) -> Column:
@@ -303,10 +305,20 @@ def both(x: Column, y: Column) -> tuple[Column, Column]:
     return F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
 
 
+def step(f: Frame, x: Column) -> Column:
+    """Sign of the change from a code's row before; null where it is rounding noise."""
+    last = F.lag(x).over(f.time)
+    least = F.greatest(F.lit(1e-9 * math.sqrt(2)), F.lit(APART) * (F.abs(x) + F.abs(last)))
+    return F.when(F.abs(x - last) > least, F.signum((x - last).cast("double")))
+
+
 @op("ts_corr", TIME)
 def _ts_corr(f, x, y, n, least=None):
     x, y = both(x, y)
     w = f.rows(n)
+    if n == 2:
+        # a line goes through two points, so it is 1 or -1: moments of large values that differ little would round it to neither
+        return full(f, x, n, step(f, x) * step(f, y), least)
     sx, sy = F.stddev_samp(x).over(w), F.stddev_samp(y).over(w)
     # rounded, as rounding noise would make an order among equal correlations
     return full(f, x, n, F.when((sx > 1e-9) & (sy > 1e-9), F.round(F.covar_samp(x, y).over(w) / (sx * sy), 9)), least)

@@ -2,6 +2,8 @@
 
 import datetime
 import math
+import random
+from fractions import Fraction
 
 import pytest
 
@@ -60,3 +62,40 @@ def test_no_value_before_the_window_is_full(values, number):
         assert own.iloc[:19].isna().all() and own.iloc[80:].notna().all()
     else:
         assert own.isna().tolist() == [i < WARM_UP[number] for i in range(ROWS)]
+
+
+def cents_panel(spark):
+    """Closes in cents that are near those of 20 rows before, or equal; and what formula 45 makes of them in whole numbers."""
+    rng, days, codes = random.Random(4), 160, "ABCDE"
+    closes = {c: [rng.randrange(100_000, 50_000_000) for _ in range(20)] for c in codes}
+    volumes = {c: [rng.randrange(1, 40) for _ in range(days)] for c in codes}
+    for c in codes:
+        for t in range(20, days):
+            closes[c].append(closes[c][t - 20] + rng.choice((-150, -18, -4, 0, 1, 7, 90)))
+
+    def sign(x):
+        return (x > 0) - (x < 0)
+
+    def rank(values):
+        some = [v for v in values.values() if v is not None]
+        return {c: Fraction(2 * sum(w < v for w in some) + sum(w == v for w in some) + 1, 2 * len(some)) for c, v in values.items() if v is not None}
+
+    rows, want = [], {}
+    for t in range(days):
+        date = datetime.date(2020, 1, 1) + datetime.timedelta(days=t)
+        rows += [(date, c, closes[c][t] / 100, float(volumes[c][t])) for c in codes]
+        if t < 24:
+            continue
+        level = rank({c: sum(closes[c][t - 24 : t - 4]) for c in codes})
+        slow = rank({c: sign(closes[c][t] - closes[c][t - 5]) * sign(closes[c][t] - closes[c][t - 20]) or None for c in codes})
+        for c in codes:
+            fast = sign(closes[c][t] - closes[c][t - 1]) * sign(volumes[c][t] - volumes[c][t - 1])
+            want[date, c] = float(-level[c] * fast * slow[c]) if fast and c in slow else None
+    return spark.createDataFrame(rows, "date_ date, code string, close double, volume double"), want
+
+
+def test_correlations_of_two_rows_are_whole(spark):
+    frame, want = cents_panel(spark)
+    got = {(r.date_, r.code): r.f for r in lower(frame, {"f": alpha101.alpha(45)}).collect()}
+    assert {k: got[k] for k in want} == {k: v if v is None else pytest.approx(v, abs=1e-12) for k, v in want.items()}
+    assert all(v is None for k, v in got.items() if k not in want) and None in want.values()

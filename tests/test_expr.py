@@ -119,3 +119,10 @@ def test_small_residuals_and_missing_sides_stay(spark):
     assert [got[c, 4] for c in "ABC"] == [None, 0.0, None]
     assert all(got[c, 5] != got[c, 5] for c in "ABC")
     assert [got[c, 6] for c in "ABC"] == [0.0, 0.0, 0.0]
+
+
+def test_correlation_of_two_rows(spark):
+    rows = [(1, 5e6, 1.0), (2, 5e6 + 0.04, 3.0), (3, 5e6 - 0.06, 2.0), (4, 5e6 - 0.06, 4.0), (5, 5e6 - 0.059999999, 5.0), (6, 1.0, None), (7, 2.0, 1.0), (8, 3.0, 0.0), (9, float("inf"), 5.0), (10, float("nan"), 6.0), (11, 1.0, 7.0), (12, 1.0 + 1e-10, 8.0), (13, 1.0, 9.0)]
+    frame = spark.createDataFrame([(dt.date(2024, 1, d), "A", x, y) for d, x, y in rows], "date_ date, code string, x double, y double")
+    got = values(frame, call("ts_corr", col("x"), col("y"), 2))
+    assert [got["A", d] for d in range(1, 14)] == [None, 1.0, 1.0, None, None, None, None, -1.0, None, None, None, None, None]
