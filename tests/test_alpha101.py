@@ -7,7 +7,7 @@ from fractions import Fraction
 
 import pytest
 
-from quantloom.functions import alpha101
+from quantloom.functions import alpha101, gtja191
 from quantloom.functions.expr import Frame, lower
 
 ROWS = 320
@@ -99,3 +99,9 @@ def test_correlations_of_two_rows_are_whole(spark):
     got = {(r.date_, r.code): r.f for r in lower(frame, {"f": alpha101.alpha(45)}).collect()}
     assert {k: got[k] for k in want} == {k: v if v is None else pytest.approx(v, abs=1e-12) for k, v in want.items()}
     assert all(v is None for k, v in got.items() if k not in want) and None in want.values()
+
+
+def test_formula_113_of_the_second_library_is_whole_too(spark):
+    frame, want = cents_panel(spark)
+    got = {(r.date_, r.code): r.f for r in lower(frame, {"f": gtja191.alpha(113)}).collect()}
+    assert {k: got[k] for k in want} == {k: v if v is None else pytest.approx(v, abs=1e-12) for k, v in want.items()}
